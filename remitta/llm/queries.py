@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from remitta.llm import bpe, exact_dedup, simhash, toxicity, winnowing
+from remitta.llm import bpe, exact_dedup, langid, lm, quality, secrets, simhash, toxicity, winnowing
 from remitta.llm.common import table
 
 
@@ -27,6 +27,22 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(spark, table(spark, sf_dir, "documents"))
 
@@ -34,7 +50,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    of = [op1_toxicity, op2_exact_dedup, op3_bpe, op5_decontamination, op9_simhash]
+    of = [op1_toxicity, op2_exact_dedup, op3_bpe, op5_decontamination, op6_lm_scoring, op7_quality, op8_language, op9_simhash, op10_secrets]
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in of}
 
 
