@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from remitta.llm import bpe, exact_dedup, langid, lm, quality, secrets, simhash, toxicity, winnowing
+from remitta.llm import bpe, exact_dedup, html_tree, langid, lm, quality, secrets, simhash, toxicity, winnowing
 from remitta.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.main_text(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -50,7 +54,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    of = [op1_toxicity, op2_exact_dedup, op3_bpe, op5_decontamination, op6_lm_scoring, op7_quality, op8_language, op9_simhash, op10_secrets]
+    of = [op1_toxicity, op2_exact_dedup, op3_bpe, op4_html_extraction, op5_decontamination, op6_lm_scoring, op7_quality, op8_language, op9_simhash, op10_secrets]
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in of}
 
 
