@@ -14,11 +14,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most rated rows that a fit uses.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 #: Most features that a fit uses: those that tell grades apart best, each in at least MIN_ROWS rows.
 MAX_FEATURES, MIN_ROWS = 4096, 4
 
 
+@dataclasses.dataclass
+class Sparse:
+    """Rows of features (hashes of 32 bits) with values; no values: all are one."""
+
+    ends: np.ndarray  # int64, where each row ends
+    features: np.ndarray  # uint32
+    values: np.ndarray | None = None  # float32
+
+    @staticmethod
+    def of(rows: list[dict[int, float]]) -> Sparse:
+        names = np.fromiter((f for r in rows for f in r), np.uint32)
+        return Sparse(np.cumsum([len(r) for r in rows], dtype=np.int64), names, np.fromiter((v for r in rows for v in r.values()), np.float32))
+
+    @staticmethod
+    def joined(features: list[bytes], values: list[bytes] | None = None) -> Sparse:
+        """Of rows packed as bytes."""
+        ends = np.cumsum([len(f) // 4 for f in features], dtype=np.int64)
+        return Sparse(ends, np.frombuffer(b"".join(features), np.uint32), None if values is None else np.frombuffer(b"".join(values), np.float32))
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.ends, prepend=0))
+
+    def take(self, chosen: np.ndarray) -> Sparse:
+        sizes = np.diff(self.ends, prepend=0)
+        use = np.repeat(chosen, sizes)
+        return Sparse(np.cumsum(sizes[chosen]), self.features[use], None if self.values is None else self.values[use])
+
+
 @dataclasses.dataclass(frozen=True)
 class CumulativeLink:
     features: np.ndarray  # hashes of the features, sorted
@@ -32,9 +63,11 @@ class CumulativeLink:
     def expected(self, score: np.ndarray) -> np.ndarray:
         return self.tail(score).sum(1)
 
-    def score_rows(self, rows: list[dict[int, float]]) -> np.ndarray:
-        w = dict(zip(self.features.tolist(), self.weights.tolist()))
-        return np.array([sum(w[f] * v for f, v in r.items() if f in w) for r in rows])
+    def score_rows(self, x: Sparse) -> np.ndarray:
+        if not len(self.features):
+            return np.zeros(len(x))
+        col, at, value = _within(x, self.features)
+        return np.bincount(at, self.weights[col] * value, len(x))
 
 
 def sample(rated: DataFrame, id_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -42,29 +75,31 @@ def sample(rated: DataFrame, id_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     return rated.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(rows)
 
 
-def fit(rows: list[dict[int, float]], grades: list[int], n_grades: int, l1: float = 2e-4, steps: int = 400, rate: float = 0.1) -> CumulativeLink:
-    """rows: features and values of each rated text. With no rows, or one grade only, no feature has a weight."""
+def _within(x: Sparse, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column, row and value of the entries whose feature is one of the (sorted) names."""
+    col = np.searchsorted(names, x.features).astype(np.int32)
+    col[col == len(names)] = 0
+    hit = names[col] == x.features
+    return col[hit], x.rows()[hit], np.ones(int(hit.sum()), np.float32) if x.values is None else x.values[hit]
+
+
+def fit(x: Sparse, grades, n_grades: int, l1: float = 2e-4, steps: int = 400, rate: float = 0.1) -> CumulativeLink:
+    """x: the features of each rated text. With no rows, or one grade only, no feature has a weight."""
     y = np.asarray(grades, np.int64)
     n = len(y)
     share = np.array([(y > k).mean() if n else 0.5 for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     theta = -np.log(share / (1 - share))
     for k in range(1, len(theta)):
         theta[k] = max(theta[k], theta[k - 1] + 1e-3)
-    flat = np.fromiter((f for r in rows for f in r), np.int64)
-    value = np.fromiter((v for r in rows for v in r.values()), np.float64)
-    at = np.repeat(np.arange(n), [len(r) for r in rows]) if n else np.zeros(0, np.int64)
-    names, col = np.unique(flat, return_inverse=True)
+    names, df = np.unique(x.features, return_counts=True)
+    often = df >= min(MIN_ROWS, max(1, n // 50))
+    names, df = names[often], df[often]
     if not len(names) or len(np.unique(y)) < 2:
-        return CumulativeLink(np.zeros(0, np.int64), np.zeros(0), theta)
-    df = np.bincount(col, minlength=len(names))
-    mean = y.mean()
-    apart = np.bincount(col, (y - mean)[at], len(names)) ** 2 / (df * max(y.var(), 1e-9) + 1e-9)
-    apart[df < min(MIN_ROWS, max(1, n // 50))] = -1
-    chosen = np.sort(np.argsort(-apart, kind="stable")[: min(MAX_FEATURES, int((apart > 0).sum()))])
-    new = np.full(len(names), -1)
-    new[chosen] = np.arange(len(chosen))
-    use = new[col] >= 0
-    col, at, value = new[col][use], at[use], value[use]
+        return CumulativeLink(np.zeros(0, np.uint32), np.zeros(0), theta)
+    col, at, value = _within(x, names)
+    apart = np.bincount(col, (y - y.mean())[at], len(names)) ** 2 / (df * y.var())
+    chosen = np.sort(np.argsort(-apart, kind="stable")[:MAX_FEATURES])
+    col, at, value = _within(x, names[chosen])
     m = len(chosen)
     w, step = np.zeros(m), 0
     mom, var = np.zeros(m + len(theta)), np.zeros(m + len(theta))

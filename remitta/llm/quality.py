@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitta.llm.common import id_text
-from remitta.llm.ordinal import SAMPLE_ROWS, CumulativeLink, fit, sample
+from remitta.llm.ordinal import SAMPLE_ROWS, CumulativeLink, Sparse, fit, sample
 from remitta.llm.toxicity import _WORD, Scorer, word_features
 
 GRADES = 3
@@ -68,17 +68,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches):
         shapes = Shapes()
         for batch in batches:
-            found = []
+            keys, values = [], []
             for text in batch.column(1).to_pylist():
                 f = shapes(text)
                 f.update((x, 1.0) for w in set(_WORD.findall(text.lower())) for x in word_features(w))
-                found.append(f)
-            arrays = [batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "grade", "f", "v"])
+                order = sorted(f)
+                keys.append(np.array(order, np.uint32).tobytes())
+                values.append(np.array([f[k] for k in order], np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "grade", "f", "v"])
 
-    got = joined.mapInArrow(run, f"doc_id {dict(joined.dtypes)['doc_id']}, grade int, f array<bigint>, v array<float>").collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.f))
-    return fit([dict(zip(r.f, r.v)) for r in got], [r.grade for r in got], GRADES)
+    got = joined.mapInArrow(run, f"doc_id {dict(joined.dtypes)['doc_id']}, grade int, f binary, v binary").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    return fit(Sparse.joined(got["f"].to_pylist(), got["v"].to_pylist()), got["grade"].to_pylist(), GRADES)
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1, confidence: float = 0.5, model: CumulativeLink | None = None) -> DataFrame:

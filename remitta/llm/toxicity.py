@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitta.llm.common import id_text
-from remitta.llm.ordinal import SAMPLE_ROWS, CumulativeLink, fit, sample
+from remitta.llm.ordinal import SAMPLE_ROWS, CumulativeLink, Sparse, fit, sample
 
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,32 +38,25 @@ def features(text: str) -> dict[int, float]:
     return {f: 1.0 for w in set(_WORD.findall(text.lower())) for f in word_features(w)}
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> list:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> CumulativeLink:
     rated = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("grade"))
-    chosen = F.broadcast(sample(rated, "doc_id", rows))
-    texts = id_text(docs, id_col, text_col)
+    chosen = F.broadcast(sample(rated, "doc_id", sample_rows))
+    joined = id_text(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "text", "grade")
 
     def run(batches):
         for batch in batches:
-            found = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.int64()))], ["doc_id", "grade", "f"])
-
-    joined = texts.join(chosen, "doc_id").select("doc_id", "text", "grade")
-    got = joined.mapInArrow(run, f"doc_id {dict(joined.dtypes)['doc_id']}, grade int, f array<bigint>").collect()
-    return sorted(got, key=lambda r: (r.doc_id, r.f))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> CumulativeLink:
-    got = _sampled(docs, labels, id_col, text_col, label_col, sample_rows)
-    rows, toxic = [dict.fromkeys(r.f, 1.0) for r in got], [int(r.grade > 0) for r in got]
-    rating = np.zeros(len(rows))
-    half = [crc32(str(r.doc_id).encode()) % 2 for r in got]
+            packed = [np.sort(np.fromiter(features(t), np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "grade", "f"])
+
+    got = joined.mapInArrow(run, f"doc_id {dict(joined.dtypes)['doc_id']}, grade int, f binary").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    x, toxic = Sparse.joined(got["f"].to_pylist()), np.array(got["grade"].to_pylist(), np.int64) > 0
+    half = np.array([crc32(str(i).encode()) % 2 for i in got["doc_id"].to_pylist()], np.int64)
+    del got
+    rating = np.zeros(len(x))
     for h in (0, 1):
-        model = fit([r for r, x in zip(rows, half) if x != h], [t for t, x in zip(toxic, half) if x != h], 2)
-        mine = [i for i, x in enumerate(half) if x == h]
-        rating[mine] = model.score_rows([rows[i] for i in mine])
-    middle = np.median(rating[np.array(toxic, bool)]) if any(toxic) else 0.0
-    return fit(rows, [t + int(t and s > middle) for t, s in zip(toxic, rating)], GRADES)
+        rating[half == h] = fit(x.take(half != h), toxic[half != h], 2).score_rows(x.take(half == h))
+    middle = np.median(rating[toxic]) if toxic.any() else 0.0
+    return fit(x, toxic.astype(int) + (toxic & (rating > middle)), GRADES)
 
 
 class Scorer:
