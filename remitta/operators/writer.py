@@ -237,6 +237,9 @@ class Assembler:
     def emit(self, segment: bytes, elements: dict, origins: dict) -> None:
         """elements: position -> bytes, or component -> bytes in a dictionary; None is no element."""
         index, d = len(self.out), self.d
+        for p, e in self.spec.segments.get(segment.decode(), {}).items():  # a required code that no column gives is the first one
+            if e.required and e.codes and p not in elements:
+                elements[p] = e.codes[0].encode()
         last = max((p for p, v in elements.items() if v is not None and (not isinstance(v, dict) or any(x is not None for x in v.values()))), default=0)
         parts = []
         for p in range(1, last + 1):
