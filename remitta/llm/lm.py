@@ -36,7 +36,8 @@ COMMON = 200_000
 CLASSES, CLASS_SIZE = 32, 32
 VOCABULARY = CLASSES * CLASS_SIZE
 BUCKETS = 1 << 15
-ROUNDS, RATE, CHUNK = 2, 1.5, 8192
+ROUNDS, RATE = 2, 0.1
+STEP, CHUNK = 1024, 8192  # tokens of a gradient step, and of a scoring step
 SHARD_TOKENS = 2_000_000
 PARTS = 32  # pieces of the weights that are averaged apart
 END = "\n"  # no word holds it
@@ -73,19 +74,26 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return saved(counted.groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-@dataclasses.dataclass
 class Common:
     """What every task knows of the counts."""
 
-    words: list[bytes]  # by frequency
-    counts: np.ndarray
-    tokens: int
-    distinct: int
+    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, distinct: int):
+        """words: by falling count."""
+        self.counts, self.tokens, self.distinct = counts, tokens, distinct
+        self.index = {w: i for i, w in enumerate(words)}
+        self._derive()
+
+    def __getstate__(self):
+        return b" ".join(self.index), self.counts, self.tokens, self.distinct
 
-    def __post_init__(self):
-        self.index = {w: i for i, w in enumerate(self.words)}
+    def __setstate__(self, state):
+        joined, self.counts, self.tokens, self.distinct = state
+        self.index = {w: i for i, w in enumerate(joined.split(b" "))} if len(self.counts) else {}
+        self._derive()
+
+    def _derive(self):
         self.base = np.log10((self.counts + 0.5) / self.total())
-        n = min(VOCABULARY, len(self.words))
+        n = min(VOCABULARY, len(self.index))
         grid = np.full((CLASSES, CLASS_SIZE), -np.inf)
         p = 10.0 ** self.base[:n]
         grid.reshape(-1)[:n] = np.log(p)
@@ -102,9 +110,21 @@ class Common:
 
 
 def common(counts: DataFrame) -> Common:
-    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    return Common([r.word.encode() for r in top], np.array([r.n for r in top], np.float64), total.n or 0, total.v)
+    """The most frequent words: as many whole steps of frequency as COMMON words hold, so what comes to the driver is bounded."""
+    step = F.floor(F.log2("n") * 64).cast("long")
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
+    least, held = None, 0
+    for s in steps:
+        if held + s.v > COMMON:
+            break
+        least, held = s.step, held + s.v
+    if least is None:
+        return Common([], np.zeros(0), sum(s.n for s in steps), sum(s.v for s in steps))
+    top = counts.filter(step >= least).select("word", "n").toArrow()
+    words = [w.encode() for w in top["word"].to_pylist()]
+    n = top["n"].to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+    return Common([words[i] for i in order], n[order].astype(np.float64), sum(s.n for s in steps), sum(s.v for s in steps))
 
 
 class Batch:
@@ -164,15 +184,15 @@ def _softmax(table: np.ndarray, at: list[np.ndarray], prior: np.ndarray) -> np.n
 
 
 def _descend(table: np.ndarray, at: list[np.ndarray], error: np.ndarray) -> None:
+    """One step. Of several tokens of a step in one bucket the last one's gradient counts: a sample of one, at less than half the cost of their mean."""
+    error *= np.float32(RATE)
     for a in at:
-        order = np.argsort(a, kind="stable")
-        rows, first, n = np.unique(a[order], return_index=True, return_counts=True)
-        table[rows] -= RATE / len(at) * np.add.reduceat(error[order], first, axis=0) / (n[:, None] + 1)
+        table[a] -= error
 
 
 def learn(w: Weights, known: Common, batch: Batch) -> None:
-    for i in range(0, len(batch.index), CHUNK):
-        cut = slice(i, i + CHUNK)
+    for i in range(0, len(batch.index), STEP):
+        cut = slice(i, i + STEP)
         c, k = batch.classes[cut], batch.within[cut]
         at = [_bucket(f[cut]) for f in batch.features]
         p = _softmax(w.classes, at, known.class_prior)
@@ -217,11 +237,10 @@ def _texts(batch: pa.RecordBatch, limit: int = 1 << 20):
         yield begin, texts
 
 
-def train(spark: SparkSession, docs: DataFrame, known: Common, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Weights:
+def train(spark: SparkSession, docs: DataFrame, counts, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Weights:
     w = Weights.zero()
     rows = _training(id_text(docs, id_col, text_col))
-    shards = max(4, known.tokens // SHARD_TOKENS)
-    counts = spark.sparkContext.broadcast(known)
+    shards = max(4, counts.value.tokens // SHARD_TOKENS)
     for r in range(rounds):
         now = spark.sparkContext.broadcast(w)
         share = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)) == r).coalesce(shards)
@@ -246,6 +265,7 @@ def train(spark: SparkSession, docs: DataFrame, known: Common, id_col: str = "do
             classes = np.concatenate([got[i] for i in range(half)]).reshape(w.classes.shape)
             inner = np.concatenate([got[i] for i in range(half, 2 * half)]).reshape(w.words.shape)
             w = Weights(w.classes + classes, w.words + inner)
+        now.destroy()
     return w
 
 
@@ -274,12 +294,13 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of docs."""
     counts = count(docs, id_col, text_col)
     known = common(counts)
-    shared = spark.sparkContext.broadcast((known, train(spark, docs, known, id_col, text_col, rounds)))
+    shared = spark.sparkContext.broadcast(known)
+    weights = spark.sparkContext.broadcast(train(spark, docs, shared, id_col, text_col, rounds))
     rows = id_text(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
-        known, w = shared.value
+        known, w = shared.value, weights.value
         for batch in batches:
             for begin, texts in _texts(batch):
                 part, b = batch.slice(begin, len(texts)), Batch(texts, known)
@@ -288,12 +309,17 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 model = log10_p(w, known, b)
                 model += np.where(b.classes == CLASSES, base, 0)  # the other words' base is added after the join
                 sums = [np.add.reduceat(x.astype(np.float64), b.starts) for x in (base, model, have)]
-                others, ends = [], [*b.starts[1:].tolist(), len(b.index)]
-                for s, e in zip(b.starts.tolist(), ends):
-                    found = Counter(b.tokens[s + i] for i in np.flatnonzero(~have[s:e]).tolist())
-                    others.append([{"w": k.decode(), "n": v} for k, v in found.items()])
+                others, numbers, ends = [], [], [0]
+                missing = np.flatnonzero(~have)
+                at = np.searchsorted(missing, [*b.starts[1:].tolist(), len(b.index)])
+                for s, e in zip([0, *at[:-1].tolist()], at.tolist()):
+                    found = Counter([b.tokens[i] for i in missing[s:e].tolist()])
+                    others += found
+                    numbers += found.values()
+                    ends.append(len(others))
+                pairs = pa.StructArray.from_arrays([pa.array(others, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], ["w", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([held_out(i) for i in part.column(0).to_pylist()]), pa.array(b.sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(others, pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())])))],
+                    [part.column(0), pa.array([held_out(i) for i in part.column(0).to_pylist()]), pa.array(b.sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
                     ["doc_id", "held_out", "n_tokens", "n_common", "base", "model", "others"],
                 )
 
