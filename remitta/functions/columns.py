@@ -46,8 +46,9 @@ def digits(x: Column) -> Column:
 
 def rescale(x: Column, scale: int) -> Column:
     """The same decimal with so many places; an error if it has more."""
-    out = x.cast(f"decimal(38,{scale})")
-    return F.when(out == x, out).when(x.isNotNull(), F.raise_error(F.concat(x.cast("string"), F.lit(f" has more than {scale} decimal places"))))
+    # as text: comparing decimals of different scales would round one of them
+    fits = x.cast("string").rlike(rf"^-?[0-9]+(\.[0-9]{{0,{scale}}}0*)?$")
+    return F.when(fits, x.cast(f"decimal(38,{scale})")).when(x.isNotNull(), F.raise_error(F.concat(x.cast("string"), F.lit(f" has more than {scale} decimal places"))))
 
 
 def whole_days(ts: Column) -> Column:

@@ -389,9 +389,13 @@ def patch_wide() -> dict:
 VERSIONS = ("5010", "4010")
 
 
-@lru_cache(8)
 def builtin(version: str = "5010", wide: bool = False):
     """The compiled specification of a version."""
+    return _compiled(version, bool(wide))
+
+
+@lru_cache(8)
+def _compiled(version: str, wide: bool):
     from remitta.plans.spec import Spec
 
     if version not in VERSIONS:
