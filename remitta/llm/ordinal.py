@@ -84,10 +84,10 @@ def _within(x: Sparse, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def fit(x: Sparse, grades, n_grades: int, l1: float = 2e-4, steps: int = 400, rate: float = 0.1) -> CumulativeLink:
-    """x: the features of each rated text. With no rows, or one grade only, no feature has a weight."""
+    """x: the features of each rated text. With one grade only no feature has a weight; with no rows everything is of grade 0."""
     y = np.asarray(grades, np.int64)
     n = len(y)
-    share = np.array([(y > k).mean() if n else 0.5 for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
+    share = np.array([(y > k).mean() if n else 0.0 for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     theta = -np.log(share / (1 - share))
     for k in range(1, len(theta)):
         theta[k] = max(theta[k], theta[k - 1] + 1e-3)

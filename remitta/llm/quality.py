@@ -7,7 +7,7 @@ their beginnings, each counted once. One weight vector serves both thresholds. A
 P(grade >= `least`) is at least `confidence`.
 
 Defined cases: null and empty texts have no features and get the probabilities of the thresholds alone; null ratings
-and ratings without a document are not used; of several ratings of one document the lowest quality and the highest
+and ratings without a document are not used, and without any usable rating nothing is selected; of several ratings of one document the lowest quality and the highest
 toxicity count. Other columns are not read.
 """
 

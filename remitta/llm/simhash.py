@@ -291,7 +291,7 @@ def _with_end(batches):
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (the least node of its component) of all nodes with links, by alternating stars."""
+    """node, root (the least node of its component) of all linked nodes but the roots, by alternating stars."""
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
