@@ -74,3 +74,8 @@ def nodes_of(contents: DataFrame, o) -> DataFrame:
             yield _batch(list(nodes.values()), names, kinds)
 
     return contents.select("filename", "content").mapInArrow(run, _NODES)
+
+
+def loop_paths(contents: DataFrame, wanted: DataFrame, o) -> DataFrame:
+    """filename, segment, path of the segments that `wanted` (filename, segment) names."""
+    return segments_of(contents, o).select("filename", "segment", "path").join(wanted.select("filename", "segment").distinct(), ["filename", "segment"], "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from remitta.functions import columns as C
-from remitta.operators import compat, summary, writer
+from remitta.operators import compat, external, structure, summary, writer
 from remitta.plans.builtin import builtin
 from remitta.plans.generate import LINES, PER_FILE, remittances
 from remitta.sources.remittance import DIAGNOSTICS, Options, Remittance, parse_files, schema_listing
@@ -236,6 +236,48 @@ def v12_code_not_in_list(spark, sf_dir):
     return _read(spark, sf_dir, DIAGNOSTICS, True).filter("kind = 'CodeNotInList'").groupBy("filename", "datum").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"{BASE} SELECT filename, 'interchange#1/group#1/transaction#' || (\"row\" + 1) || '/1000B#' || (\"row\" + 1) AS path, 'XX' AS datum, CAST(1 AS BIGINT) AS level FROM pays WHERE c_custkey % 17 = 0")
+def v2_unknown_segments(spark, sf_dir):
+    return _read(spark, sf_dir, DIAGNOSTICS, True).filter("kind = 'UnknownSegment'").select("filename", "path", "datum", "level")
+
+
+@query(f"{BASE} SELECT filename, 'interchange#1/group#1/transaction#' || (payment + 1) || '/2000#' || head || '/2100#' || (\"row\" + 1) AS path FROM (SELECT *, dense_rank() OVER (PARTITION BY filename ORDER BY payment, lx) AS head FROM claims) WHERE o_orderkey % 97 = 0")
+def e5_paths_of_segments(spark, sf_dir):
+    """Loop paths of the claims that don't balance."""
+    files = remittances(spark, sf_dir, True)
+    wanted = parse_files(files, Options(DIAGNOSTICS)).filter("kind = 'BalanceMismatch'").select("filename", "segment")
+    return structure.loop_paths(files, wanted, Options("claims")).select("filename", "path")
+
+
+@query(f"{BASE} SELECT filename, 'LARGE' AS code, 'External' AS kind, CAST(1 AS BIGINT) AS claims_hit, count(*) AS n FROM claims WHERE charge >= 50000000 GROUP BY 1")
+def v21_external_findings(spark, sf_dir):
+    """A validator that reports large charges by offset; each lands on its claim's segment."""
+    files = remittances(spark, sf_dir)
+
+    def large(data: bytes):
+        import re
+
+        for m in re.finditer(rb"CLP\*(\d+)\*\d\*(\d+)\.\d\d\*", data):
+            if int(m[2]) >= 500_000:
+                yield "LARGE", "the charge is large", m.start() + 2, m[1]
+
+    found = external.external_findings(files, large, "size check")
+    joined = found.join(parse_files(files, Options("claims")).select("filename", "segment", "claim_id"), ["filename", "segment"], "left")
+    return joined.groupBy("filename", "code", "kind").agg(F.min((F.col("claim_id") == F.col("datum")).cast("bigint")).alias("claims_hit"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{BASE} SELECT version, count(*) AS n FROM (SELECT filename, CASE WHEN CAST(substr(filename, 8, 6) AS BIGINT) % 2 = 1 THEN '4010' ELSE '5010' END AS version FROM claims) GROUP BY 1")
+def s7_versions(spark, sf_dir):
+    """Half of the files as 4010: the version is found in each."""
+    files = remittances(spark, sf_dir)
+    odd = F.substring("filename", 8, 6).cast("bigint") % 2 == 1
+    text = F.decode("content", "ISO-8859-1")
+    old = F.replace(F.replace(text, F.lit("005010X221A1"), F.lit("004010X091A1")), F.lit("*^*00501*"), F.lit("*U*00401*"))
+    files = files.withColumn("content", F.when(odd, F.encode(old, "ISO-8859-1")).otherwise(F.col("content")))
+    segments = Remittance(files).segments().filter("loop = '2100' and id = 'DTM'").select("filename", F.when(F.col("occurrence") == "claim_date", "4010").otherwise("5010").alias("version"))
+    return segments.groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Summaries
 
 
@@ -443,6 +485,30 @@ def g18_unnest(spark, sf_dir):
     return per_claim.select("filename", F.explode("rows")).groupBy("filename").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"{BASE} SELECT claim_status, count(*) AS n, CAST(sum(p) AS DECIMAL(38,2)) AS paid FROM (SELECT CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN '4' ELSE '2' END AS claim_status, {money('paid')} AS p FROM claims) GROUP BY 1")
+def g14_view(spark, sf_dir):
+    """Through a view and SQL."""
+    return spark.sql("SELECT claim_status, count(*) AS n, CAST(sum(payment_amount) AS DECIMAL(38,2)) AS paid FROM (SELECT * EXCEPT (segment) FROM {claims}) GROUP BY ALL", claims=_read(spark, sf_dir, "claims"))
+
+
+@query(f"{BASE} SELECT filename, count(*) AS n_claims, CAST(sum(\"row\") AS BIGINT) AS row_sum, min(o_orderkey || '') AS least FROM claims GROUP BY 1")
+def g8_list_of_rows(spark, sf_dir):
+    """Rows as an ordered list of structs, as for a copy to a file."""
+    listed = _read(spark, sf_dir, "claims").groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("row", "claim_id"))).alias("t"))
+    return listed.select("filename", F.size("t").cast("bigint").alias("n_claims"), F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x.row).alias("row_sum"), F.array_min(F.transform("t", lambda x: x.claim_id)).alias("least"))
+
+
+@query(f"{BASE} SELECT count(*) AS n FROM claims WHERE contains(lower(c_name || o_orderkey), '77')")
+def f23_text_filter(spark, sf_dir):
+    rows = _read(spark, sf_dir, "claims")
+    return rows.filter(C.any_cell_contains([F.concat(F.col("patient_last_name"), F.col("claim_id"))], "77")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{BASE} SELECT filename, service, max(CASE k WHEN 1 THEN reason_code END) AS x_0_code, max(CASE k WHEN 2 THEN reason_code END) AS x_1_code, max(CASE k WHEN 3 THEN reason_code END) AS x_2_code FROM adjustments GROUP BY 1, 2")
+def c4_numbered_pivot(spark, sf_dir):
+    return compat.numbered(_read(spark, sf_dir, "adjustments").withColumnRenamed("reason_code", "code"), ["filename", "service"], "x", {"code": "code"})
+
+
 # Functions on the tables' own values
 
 _DIRTY = "documents"

@@ -166,3 +166,22 @@ def test_arriving_files(spark, folder, tmp_path):
     q = stream_table(spark, folder, "payments").writeStream.format("memory").queryName("pays").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("pays").count() == 2
+
+
+def test_external_findings(spark, folder):
+    from remitta.operators.external import all_findings, external_findings, hidden, required
+
+    def validator(data):
+        yield "A1", "the name GREEN looks odd", data.index(b"NM1*QC"), b"GREEN"
+        yield "A2", "no place", None, b""
+
+    files = R.files(spark, f"{folder}/a.835")
+    a, b = external_findings(files, validator, "other", mask_key=KEY).collect()
+    assert (a.kind, a.segment, a.code, a.origin) == ("External", 14, "A1", "other") and b.segment is None
+    assert "GREEN" not in a.rule and a.datum == token(KEY, "name", b"GREEN").decode() and a.path.endswith("2100#1")
+    (f,) = external_findings(files, lambda data: 1 / 0, "other").collect()
+    assert (f.level, f.segment) == (1, None) and "ZeroDivisionError" in f.rule
+    assert all_findings(files, validator, "other").count() == 2
+    assert hidden("AB and CAB, ABCD", {"AB": "x", "ABCD": "y"}) == "x and CAB, y"
+    with pytest.raises(ImportError, match="not installed"):
+        required("no_such_package")
