@@ -15,6 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +27,23 @@ from pyspark.sql import functions as F
 
 from remitta.llm.common import binary_texts, id_text
 
-#: Pieces, and pairs of tokens, that a task remembers; a full memory is emptied.
-MEMORY = 400_000
+#: Pieces, pairs of tokens and short runs of bytes that a task remembers; a full memory is emptied.
+MEMORY, SHORT_MEMORY, SHORT, HALF = 400_000, 100_000, 16, 8
+
+
+class _Pieces(dict):
+    """Piece -> its ids as bytes, worked out when first asked for."""
+
+    def __init__(self, coder: TreeBPE):
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", self.coder.encode_piece(piece.encode())).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class TreeBPE:
@@ -34,11 +51,20 @@ class TreeBPE:
         self.ranks, self.bytes_of = ranks, {r: b for b, r in ranks.items()}
         self.vocab = [self.bytes_of.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
         self.pattern = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.pieces = _Pieces(self)
+        self.halves: dict[bytes, list[int]] = {}
+        self.windows: dict[bytes, list[int]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by definition: the pair of the least rank is merged first, the leftmost of equal ones."""
+        if len(data) <= SHORT:
+            known = self.windows.get(data)
+            if known is None:
+                if len(self.windows) >= SHORT_MEMORY:
+                    self.windows.clear()
+                known = self.windows[data] = self._merged_short(data)
+            return known
         n, ranks = len(data), self.ranks
         parts = [data[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -59,12 +85,31 @@ class TreeBPE:
                 heapq.heappush(queue, (r, h, new))
         return [ranks[p] for p in parts if p]
 
+    def _merged_short(self, data: bytes) -> list[int]:
+        """The same without a queue."""
+        get, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
+        of = [get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best, at = None, -1
+            for i, r in enumerate(of):
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if best is None:
+                return [self.ranks[p] for p in parts]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del of[at]
+            if at < len(of):
+                of[at] = get(parts[at] + parts[at + 1])
+            if at:
+                of[at - 1] = get(parts[at - 1] + parts[at])
+
     def stable(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        key = a << 32 | b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.vocab[a] + self.vocab[b]) == [a, b]
+            known = self.pairs[key] = self.merged(self.vocab[a] + self.vocab[b]) == [a, b]
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -83,21 +128,20 @@ class TreeBPE:
     def encode_piece(self, data: bytes) -> list[int]:
         if (rank := self.ranks.get(data)) is not None:
             return [rank]
+        short = len(data) <= HALF
+        if short and (ids := self.halves.get(data)) is not None:
+            return ids
         half = len(data) // 2
-        return self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+        ids = self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+        if short:
+            if len(self.halves) >= SHORT_MEMORY:
+                self.halves.clear()
+            self.halves[data] = ids
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
-        known, out = self.pieces, []
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                ids = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<u4")
+        ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), np.uint32)
+        return ids if sys.byteorder == "little" else ids.astype("<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= 4096:
