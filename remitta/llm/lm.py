@@ -74,13 +74,20 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return saved(counted.groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 
 
+class _Index(dict):
+    """Word -> place by frequency, -1 for other words."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Common:
     """What every task knows of the counts."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, distinct: int):
         """words: by falling count."""
         self.counts, self.tokens, self.distinct = counts, tokens, distinct
-        self.index = {w: i for i, w in enumerate(words)}
+        self.index = _Index((w, i) for i, w in enumerate(words))
         self._derive()
 
     def __getstate__(self):
@@ -88,7 +95,7 @@ class Common:
 
     def __setstate__(self, state):
         joined, self.counts, self.tokens, self.distinct = state
-        self.index = {w: i for i, w in enumerate(joined.split(b" "))} if len(self.counts) else {}
+        self.index = _Index((w, i) for i, w in enumerate(joined.split(b" "))) if len(self.counts) else _Index()
         self._derive()
 
     def _derive(self):
@@ -138,8 +145,7 @@ class Batch:
             tokens += words(text)
             tokens.append(END.encode())
         self.tokens = tokens
-        get = known.index.get
-        self.index = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
+        self.index = np.fromiter(map(known.index.__getitem__, tokens), np.int64, len(tokens))
         ids = np.fromiter(map(crc32, tokens), np.uint64, len(tokens))
         self.sizes = np.diff(np.r_[self.starts, len(tokens)])
         place = np.arange(len(tokens)) - np.repeat(self.starts, self.sizes)
