@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import binary_texts, id_text
+from remitta.llm.common import binary_texts, id_text, slices
 
 #: Pieces, pairs of tokens and short runs of bytes that a task remembers; a full memory is emptied.
 MEMORY, SHORT_MEMORY, SHORT, HALF = 400_000, 100_000, 16, 8
@@ -170,7 +170,7 @@ def bpe(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte_bpe_50k.ti
 
     def run(batches):
         coder = installed(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for data in binary_texts(batch):
                 ids = coder.encode(data.decode())
@@ -189,7 +189,7 @@ def decoded(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", id_co
 
     def run(batches):
         coder = installed(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [coder.decode(np.asarray(ids, np.int64)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

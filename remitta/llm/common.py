@@ -58,6 +58,24 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+_HASHES = 1 << 40
+
+
+def hash_rank(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(_HASHES))
+
+
+def hashed_sample(rows: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The n rows whose ids hash least: the same rows each time, from all parts of the table.
+
+    Rows that can't be among them go before the sort, so a task hands on a few rows only, however many tasks there are.
+    """
+    total = rows.count()
+    if total > 4 * n:
+        rows = rows.filter(hash_rank(id_col) < min(_HASHES, 2 * (n + 50) * _HASHES // total))
+    return rows.orderBy(hash_rank(id_col), id_col).limit(n)
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose id is not in `ids` (one column, named as id_col). A null id matches a null id.
 

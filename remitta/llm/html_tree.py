@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from remitta.llm.common import hashed_sample
+
 SAMPLE_PAGES = 150
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?|[^<]+|<""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -413,7 +415,7 @@ def by_meaning(source: str) -> tuple[Page, list[bool]] | None:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES, made: int = 250) -> TreeModel:
     got = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).filter(F.length("h") <= 100_000)
-    ids = F.broadcast(got.select("i").filter("i is not null").orderBy(F.xxhash64("i"), "i").limit(sample_pages).distinct())
+    ids = F.broadcast(hashed_sample(got.select("i").filter("i is not null"), "i", sample_pages).distinct())
     sources = sorted(r.h for r in got.join(ids, "i").select("h").collect())[: 2 * sample_pages]
     known = [x for x in map(by_meaning, sources) if x]
     return fit([labelled(h) for h, _ in generated(made)] + known)

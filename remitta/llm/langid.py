@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from remitta.llm.common import _HASHES, hash_rank, slices
+
 ORDER = 4
 ROWS_PER_LANGUAGE = 400
 FOLDS, HELD_OUT = 5, 0
@@ -236,7 +238,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     number = F.crc32(F.col(id_col).cast("string").cast("binary"))
     usable = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (number % FOLDS != HELD_OUT))
     rows = usable.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i"))
+    # rows that can't be among those of their language go first, so no task gets many rows of one language
+    share = rows.groupBy("lang").agg(F.least(F.lit(_HASHES), F.lit(2.0 * (rows_per_language + 50) * _HASHES) / F.count(F.lit(1))).alias("below"))
+    rows = rows.join(F.broadcast(share), "lang").filter(hash_rank("i") < F.col("below")).drop("below")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(hash_rank("i"), "i"))
     chosen = rows.withColumn("r", rank).filter(F.col("r") <= rows_per_language).select("i", "r").distinct()
     got = usable.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("lang", "t", "r").collect()
     got = sorted(got, key=lambda r: (r.lang, r.r, r.t))
@@ -250,7 +255,7 @@ def language(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             n, ids = batch.num_rows, batch.column(0)
             held = [i is not None and crc32(str(i).encode()) % FOLDS == HELD_OUT for i in ids.to_pylist()]
             pred, score, bits, rejected = [UND] * n, np.zeros(n), [None] * n, np.ones(n, bool)

@@ -11,7 +11,8 @@ import dataclasses
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from remitta.llm.common import hashed_sample
 
 #: Most rated rows that a fit uses.
 SAMPLE_ROWS = 6000
@@ -72,7 +73,7 @@ class CumulativeLink:
 
 def sample(rated: DataFrame, id_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most so many rows, the same ones each time, from all parts of the table."""
-    return rated.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(rows)
+    return hashed_sample(rated, id_col, rows)
 
 
 def _within(x: Sparse, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import id_text
+from remitta.llm.common import id_text, slices
 from remitta.llm.ordinal import SAMPLE_ROWS, CumulativeLink, Sparse, fit, sample
 from remitta.llm.toxicity import _WORD, Scorer, word_features
 
@@ -67,7 +67,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         shapes = Shapes()
-        for batch in batches:
+        for batch in slices(batches):
             keys, values = [], []
             for text in batch.column(1).to_pylist():
                 f = shapes(text)
@@ -89,7 +89,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     def run(batches):
         m = shared.value
         words, shapes, weights = Scorer(m), Shapes(), dict(zip(m.features.tolist(), m.weights.tolist()))
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             score = words(texts) + np.array([sum(weights[f] * v for f, v in shapes(t).items() if f in weights) for t in texts])
             tail = m.tail(score)

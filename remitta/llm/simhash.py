@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import UPPER, binary_texts, id_text, saved
+from remitta.llm.common import UPPER, binary_texts, id_text, saved, slices
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Expected rows of a bucket above which the key takes more bits.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = id_text(docs, id_col, text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.fromiter((fingerprint(t) for t in binary_texts(batch)), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 

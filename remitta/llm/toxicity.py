@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import id_text
+from remitta.llm.common import id_text, slices
 from remitta.llm.ordinal import SAMPLE_ROWS, CumulativeLink, Sparse, fit, sample
 
 GRADES = 3
@@ -44,7 +44,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     joined = id_text(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "text", "grade")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             packed = [np.sort(np.fromiter(features(t), np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "grade", "f"])
 
@@ -86,7 +86,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             tail = scorer.model.tail(scorer(batch.column(1).to_pylist()))
             each = -np.diff(np.c_[np.ones(len(tail)), tail, np.zeros(len(tail))], axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -104,7 +104,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col:
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             p = scorer.model.tail(scorer([t or "" for t in batch.column(at).to_pylist()]))[:, 0]
             yield batch.filter(pa.array(p < 0.5))
 

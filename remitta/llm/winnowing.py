@@ -6,8 +6,9 @@ more words that a document shares with an item always shares a fingerprint. Fing
 joined with those of the items; each match is extended to the item windows around it, compared word for word. Items
 of fewer than ten words are matched as one window of their own length.
 
-The items go to the tasks in blocks of at most about `block_words` words, which bounds what is broadcast at once; a
-document passes all blocks in one scan and is never shuffled.
+The items go to the tasks in blocks of at most about `block_words` words, which bounds what is broadcast and what a
+task holds. One block, the usual case, takes one scan without a shuffle. For more, the documents are scanned once for
+each; the later scans give only documents with matches, and these are merged by id and hash of the text.
 
 Defined cases: null and empty texts have no words; items without words match nothing; items that repeat an id count
 once; an empty benchmark leaves all documents clean. Other columns are not read.
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import binary_texts, id_text
+from remitta.llm.common import binary_texts, id_text, saved
 
 WINDOW, GRAM = 10, 5
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 300_000
 #: Bytes that belong to words stay, A-Z become a-z, others become blanks.
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(WINDOW)], np.uint64)
@@ -158,7 +159,7 @@ def _chunks(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[int,
         yield begin, texts
 
 
-_SO_FAR = "doc_id {0}, text string, spans array<struct<s:int,e:int>>, items array<string>"
+_RAW = "doc_id {0}, text_hash bigint, n_words bigint, spans array<struct<s:int,e:int>>, items array<string>"
 _OUT = "doc_id {0}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<s:int,e:int>>"
 _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _STRINGS = pa.list_(pa.string())
@@ -188,34 +189,47 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (of word positions); one row per row of docs."""
     rows = id_text(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
-    rows = rows.withColumn("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")).withColumn("items", F.expr("cast(array() as array<string>)"))
     blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
-    block = next(blocks, [])
-    while block is not None:
-        after = next(blocks, None)
-        rows = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(block), after is None), (_OUT if after is None else _SO_FAR).format(kind))
-        block = after
-    return rows
-
-
-def _matcher(shared, last: bool):
-    """Adds the matches of one block of items to what earlier blocks have found; the last one also sums up."""
+    first, second = next(blocks, []), next(blocks, None)
+    hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    scan_of = lambda block, every: hashed.mapInArrow(_matcher(spark.sparkContext.broadcast(block), every), _RAW.format(kind))
+    found = scan_of(first, True)
+    if second is not None:
+        found = saved(found, "winnowing-first")
+        parts = found.select("doc_id", "text_hash", "spans", "items").filter(F.size("spans") > 0)
+        while second is not None:
+            parts = parts.unionByName(saved(scan_of(second, False), "winnowing-hits").select("doc_id", "text_hash", "spans", "items"))
+            second = next(blocks, None)
+        # rows that repeat an id and a text have the same matches, so merging them changes nothing
+        merged = parts.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("m_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("m_items"))
+        merged = merged.withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
+        joined = found.join(merged, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
+        found = joined.select("doc_id", "text_hash", "n_words", F.coalesce("m_spans", "spans").alias("spans"), F.coalesce("m_items", "items").alias("items"))
+    return found.mapInArrow(_summed, _OUT.format(kind))
+
+
+def _matcher(shared, every: bool):
+    """Matches of one block of items; every: also documents without any."""
 
     def run(batches):
         index = ItemIndex(shared.value)
         for batch in batches:
             for begin, texts in _chunks(batch):
-                part, out = batch.slice(begin, len(texts)), []
-                before = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
-                for (n_words, spans, items), (old_spans, old_items) in zip(scan(texts, index), before):
-                    spans = sorted({*spans, *((x["s"], x["e"]) for x in old_spans)})
-                    items = sorted({*items, *old_items})
-                    as_rows = [{"s": s, "e": e} for s, e in spans]
-                    n_hit = covered(spans)
-                    out.append((n_words, n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0, items, as_rows) if last else (as_rows, items))
-                if last:
-                    yield _columns(out, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), _STRINGS, _SPANS], [part.column(0)])
-                else:
-                    yield _columns(out, ["doc_id", "text", "spans", "items"], [_SPANS, _STRINGS], [part.column(0), part.column(1)])
+                part = batch.slice(begin, len(texts))
+                found = scan(texts, index)
+                keep = list(range(len(texts))) if every else [i for i, (_, spans, _) in enumerate(found) if spans]
+                chosen = [(found[i][0], [{"s": s, "e": e} for s, e in sorted(set(found[i][1]))], sorted(found[i][2])) for i in keep]
+                at = pa.array(keep, pa.int64())
+                yield _columns(chosen, ["doc_id", "text_hash", "n_words", "spans", "items"], [pa.int64(), _SPANS, _STRINGS], [part.column(0).take(at), part.column(2).take(at)])
 
     return run
+
+
+def _summed(batches):
+    for batch in batches:
+        out = []
+        for spans, items in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            spans, items = sorted((x["s"], x["e"]) for x in spans), sorted(items)
+            n_hit = covered(spans)
+            out.append((n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0, items, [{"s": s, "e": e} for s, e in spans]))
+        yield _columns(out, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"], [pa.int64(), pa.int64(), pa.string(), pa.bool_(), _STRINGS, _SPANS], [batch.column(0), batch.column(2)])
