@@ -106,8 +106,11 @@ def expand(spark: SparkSession, path) -> list[str]:
 def files(spark: SparkSession, path) -> DataFrame:
     """filename, content."""
     paths = expand(spark, path)
-    # names that were asked for may hold characters that Spark would take for a pattern
-    plain = ["".join("\\" + c if c in "*?[]{}" else c for c in p) for p in paths]
+    if isinstance(path, str) and is_pattern(path):
+        plain: list[str] | str = path  # Spark lists the files itself, on many threads
+    else:
+        # names that were asked for may hold characters that Spark would take for a pattern
+        plain = ["".join("\\" + c if c in "*?[]{}" else c for c in p) for p in paths]
     return spark.read.format("binaryFile").load(plain).select(F.col("path").alias("filename"), "content")
 
 
