@@ -277,6 +277,10 @@ class Assembler:
             p = c.element if c.element is not None else start + c.offset
             if v is not None:
                 some = True
+            if v is not None and v.startswith(REFUSED.encode()):
+                shown, what = printable(v[1:]), "the year has no form of two digits" if c.kind == "date" else "it lies outside a day, or has seconds and the element holds none"
+                self.report("NotWritable", r, c.name, f'table "{t.name}" row {r.at} column "{c.name}" holds {shown}, which {place(line.segment, p, c.component)} cannot hold: {what}')
+                v = None
             if c.component is not None:
                 slot = elements.setdefault(p, {})
                 if isinstance(slot, dict):
@@ -436,15 +440,30 @@ class Assembler:
 # DataFrames
 
 
-def _cell(spec: Spec, c: Column, kind: str):
+#: Begins a cell whose value has no form in its element.
+REFUSED = "\0"
+
+
+def _longest(spec: Spec, t: Table, c: Column) -> int:
+    known = spec.segments.get((c.segment or b"").decode(), {})
+    e = known.get(c.element if c.element is not None else (t.repeat or (0, 0))[0] + (c.offset or 0))
+    e = dict(e.parts).get(c.component) if e is not None and c.component else e
+    return 8 if e is None or e.max is None else e.max
+
+
+def _cell(spec: Spec, t: Table, c: Column, kind: str):
     """A column as element text."""
     x = F.col(f"`{c.name}`")
     if c.kind == "decimal":
         return C.decimal_element(C.rescale(x, c.scale)).cast("binary") if kind.startswith("decimal") else C.decimal_element(C.rescale(x.cast("decimal(38,18)"), c.scale)).cast("binary")
+    longest = _longest(spec, t, c)
+    refused = lambda value: F.concat(F.lit(REFUSED), value.cast("string"))
     if c.kind == "date":
-        return C.date_element(x if kind == "date" else C.whole_days(x)).cast("binary")
+        day = x if kind == "date" else C.whole_days(x)
+        return F.when(day.isNotNull(), F.coalesce(C.date_element(day, longest), refused(day))).cast("binary")
     if c.kind == "time":
-        return C.time_element(x).cast("binary")
+        held = (x >= 0) & (x < 86_400) & (F.lit(longest >= 6) | (x % 60 == 0))
+        return F.when(held, C.time_element(x)).when(x.isNotNull(), refused(x)).cast("binary")
     return x.cast("string").cast("binary") if kind != "binary" else x
 
 
@@ -479,7 +498,7 @@ def write_files(tables: dict[str, DataFrame], envelope: Envelope, spec: Spec | N
         check_types(spec, t, df)
         kinds = dict(df.dtypes)
         have = lambda c: F.col(f"`{c}`").cast("bigint") if c in kinds else F.lit(None).cast("bigint")  # noqa: E731, B023
-        cells = [_cell(spec, c, kinds[c.name]) if c.name in kinds else F.lit(None).cast("binary") for c in t.columns]
+        cells = [_cell(spec, t, c, kinds[c.name]) if c.name in kinds else F.lit(None).cast("binary") for c in t.columns]
         part = df.select(
             F.col("filename") if "filename" in kinds else F.lit("out.835").alias("filename"), F.lit(name).alias("table"), have("row").alias("row"), have("segment").alias("segment"),
             F.array(*[have(spec.table(p).ref) for p in t.parents]).cast("array<bigint>").alias("parents"), F.array(*cells).cast("array<binary>").alias("cells"),

@@ -109,3 +109,12 @@ def test_packing_and_runs(spark):
     df = spark.createDataFrame([("f", i, 1 if i < 8 else 2) for i in range(10)], "filename string, row bigint, g int")
     got = {(r.island, r.part): r.n for r in W.packed(df, ["filename", "g"], 6).groupBy("island", "part").count().withColumnRenamed("count", "n").collect()}
     assert got == {(0, 0): 6, (0, 1): 2, (1, 0): 2}
+
+
+def test_values_without_a_form(spark, tables):
+    spec = builtin().patch({"segments": {"DTM": {"elements": {"2": {"min": 6, "max": 6}}}}})
+    data, findings = W.write(tables, ENVELOPE, spec, allow_findings=True)
+    assert findings == [] and b"DTM*232*250110~" in data
+    old = tables["claims"].withColumn("statement_from", F.expr("date'1949-12-31'"))
+    data, findings = W.write(tables | {"claims": old}, ENVELOPE, spec, allow_findings=True)
+    assert {f["kind"] for f in findings} >= {"NotWritable"} and "1949-12-31" in findings[0]["message"]
