@@ -32,7 +32,7 @@ def filtered(df: DataFrame, text: str) -> DataFrame:
 
 def render(name: str, columns: list[tuple[str, str, int, str | None]], rows: list[list]) -> str:
     """A table as text: title, header, a line for each row; null is shown as ∅."""
-    kinds = {"int": "int64", "binary": "binary", "date": "date32", "time": "time32"}
+    kinds = {"int": "int64", "binary": "binary", "date": "date32", "time": "time32 (seconds)"}
     head = " | ".join(f"{c}: {kinds.get(k) or f'decimal128(38, {s})'}" for c, k, s, _ in columns)
     lines = [f"## {name} (rows: {len(rows)})", head]
     for r in rows:
