@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from remitta.llm.common import binary_texts, id_text, slices
 
 #: Pieces, pairs of tokens and short runs of bytes that a task remembers; a full memory is emptied.
-MEMORY, SHORT_MEMORY, SHORT, HALF = 400_000, 100_000, 16, 8
+MEMORY, SHORT_MEMORY, SHORT, HALF = 250_000, 60_000, 16, 8
 
 
 class _Pieces(dict):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import binary_texts, id_text, saved
+from remitta.llm.common import binary_texts, id_text, release, saved
 
 WINDOW, GRAM = 10, 5
 BLOCK_WORDS = 300_000
@@ -192,24 +192,25 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
     blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
     first, second = next(blocks, []), next(blocks, None)
     hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    if second is None:
+        return hashed.mapInArrow(_matcher(spark.sparkContext.broadcast(first), True, True), _OUT.format(kind))
     scan_of = lambda block, every: hashed.mapInArrow(_matcher(spark.sparkContext.broadcast(block), every), _RAW.format(kind))
     found = scan_of(first, True)
-    if second is not None:
-        found = saved(found, "winnowing-first")
-        parts = found.select("doc_id", "text_hash", "spans", "items").filter(F.size("spans") > 0)
-        while second is not None:
-            parts = parts.unionByName(saved(scan_of(second, False), "winnowing-hits").select("doc_id", "text_hash", "spans", "items"))
-            second = next(blocks, None)
-        # rows that repeat an id and a text have the same matches, so merging them changes nothing
-        merged = parts.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("m_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("m_items"))
-        merged = merged.withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
-        joined = found.join(merged, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
-        found = joined.select("doc_id", "text_hash", "n_words", F.coalesce("m_spans", "spans").alias("spans"), F.coalesce("m_items", "items").alias("items"))
+    found = saved(found, "winnowing-first")
+    parts = found.select("doc_id", "text_hash", "spans", "items").filter(F.size("spans") > 0)
+    while second is not None:
+        parts = parts.unionByName(saved(scan_of(second, False), "winnowing-hits").select("doc_id", "text_hash", "spans", "items"))
+        second = next(blocks, None)
+    # rows that repeat an id and a text have the same matches, so merging them changes nothing
+    merged = parts.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("m_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("m_items"))
+    merged = merged.withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
+    joined = found.join(merged, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
+    found = joined.select("doc_id", "text_hash", "n_words", F.coalesce("m_spans", "spans").alias("spans"), F.coalesce("m_items", "items").alias("items"))
     return found.mapInArrow(_summed, _OUT.format(kind))
 
 
-def _matcher(shared, every: bool):
-    """Matches of one block of items; every: also documents without any."""
+def _matcher(shared, every: bool, summed: bool = False):
+    """Matches of one block of items; every: also documents without any; summed: the block is the only one."""
 
     def run(batches):
         index = ItemIndex(shared.value)
@@ -220,7 +221,10 @@ def _matcher(shared, every: bool):
                 keep = list(range(len(texts))) if every else [i for i, (_, spans, _) in enumerate(found) if spans]
                 chosen = [(found[i][0], [{"s": s, "e": e} for s, e in sorted(set(found[i][1]))], sorted(found[i][2])) for i in keep]
                 at = pa.array(keep, pa.int64())
-                yield _columns(chosen, ["doc_id", "text_hash", "n_words", "spans", "items"], [pa.int64(), _SPANS, _STRINGS], [part.column(0).take(at), part.column(2).take(at)])
+                rows = _columns(chosen, ["doc_id", "text_hash", "n_words", "spans", "items"], [pa.int64(), _SPANS, _STRINGS], [part.column(0).take(at), part.column(2).take(at)])
+                yield from _summed([rows]) if summed else [rows]
+        del index
+        release()
 
     return run
 
