@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from remitta.functions import columns as C
-from remitta.operators import compat, external, structure, summary, writer
+from remitta.operators import compat, external, native_lexer, structure, summary, writer
 from remitta.plans.builtin import builtin
 from remitta.plans.generate import LINES, PER_FILE, remittances
 from remitta.sources.remittance import DIAGNOSTICS, Options, Remittance, parse_files, schema_listing
@@ -156,6 +156,23 @@ def l5_segments_by_id(spark, sf_dir):
     return Remittance(remittances(spark, sf_dir)).segments().groupBy("filename", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""{BASE}, ids AS (SELECT filename, 'CLP' AS id, sum(n_claims) AS n FROM totals GROUP BY 1 UNION ALL SELECT filename, 'SVC', sum(n_lines) FROM totals GROUP BY 1 UNION ALL SELECT filename, 'CAS', 2 * sum(n_lines) FROM totals GROUP BY 1
+ UNION ALL SELECT filename, 'DTM', sum(n_lines) + sum(n_claims) + count(*) FROM totals GROUP BY 1 UNION ALL SELECT filename, 'REF', sum(n_lines) + count(*) FROM totals GROUP BY 1 UNION ALL SELECT filename, 'NM1', sum(n_claims) FROM totals GROUP BY 1
+ UNION ALL SELECT filename, 'LX', sum(n_lx) FROM totals GROUP BY 1 UNION ALL SELECT filename, 'N1', 2 * count(*) FROM totals GROUP BY 1
+ UNION ALL SELECT filename, x, count(*) FROM totals, (VALUES ('ST'), ('BPR'), ('TRN'), ('N3'), ('N4'), ('PER'), ('PLB'), ('SE')) v(x) GROUP BY 1, 2 UNION ALL SELECT DISTINCT filename, x, 1 FROM totals, (VALUES ('ISA'), ('GS'), ('GE'), ('IEA'), ('')) v(x))
+ SELECT filename, id, CAST(n AS BIGINT) AS n FROM ids""")
+def l6_native_segments_by_id(spark, sf_dir):
+    """The same counts without leaving the JVM."""
+    return native_lexer.segments(remittances(spark, sf_dir)).groupBy("filename", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{BASE} SELECT filename, group_code, reason_code, CAST(sum({money('cents')}) AS DECIMAL(38,2)) AS amount FROM adj WHERE k < 3 GROUP BY 1, 2, 3")
+def l7_native_first_reasons(spark, sf_dir):
+    """Amounts of the first adjustment of each CAS, read by position."""
+    cas = native_lexer.segments(remittances(spark, sf_dir)).filter("id = 'CAS'")
+    return cas.groupBy("filename", native_lexer.element(1).alias("group_code"), native_lexer.element(2).alias("reason_code")).agg(F.sum(C.parse_r(native_lexer.element(3))).cast("decimal(38,2)").alias("amount"))
+
+
 @query(f"{BASE} SELECT count(DISTINCT filename) AS n_files, count(DISTINCT filename) AS n_equal FROM cust")
 def l10_lossless(spark, sf_dir):
     """The segments' bytes in order are the file."""

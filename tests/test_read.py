@@ -185,3 +185,15 @@ def test_external_findings(spark, folder):
     assert hidden("AB and CAB, ABCD", {"AB": "x", "ABCD": "y"}) == "x and CAB, y"
     with pytest.raises(ImportError, match="not installed"):
         required("no_such_package")
+
+
+def test_native_lexer_agrees(spark, folder):
+    from remitta.operators import native_lexer
+    from remitta.operators.lexer import BOM
+
+    files = R.files(spark, f"{folder}/a.835").unionByName(spark.createDataFrame([("bom", bytearray(BOM + b" \n" + sample(end="~") + b"\n")), ("none", bytearray(b"x"))], "filename string, content binary"))
+    ours = R.Remittance(files, ignore_errors=True).segments().collect()
+    native = native_lexer.segments(files, spans=True).collect()
+    want = {(r.filename, r.segment): (r.id, [[p.decode("latin-1") for p in e] for e in r.elements], r.terminated, r.raw_start, r.raw_end) for r in ours}
+    assert {(r.filename, r.segment): (r.id, r["elements"], r.terminated, r.raw_start, r.raw_end) for r in native} == want
+    assert native_lexer.delimiters_of(files).filter("repetition = '^'").count() == 2
