@@ -13,8 +13,9 @@ stochastic gradient descent in every shard of the training documents, starting f
 changes are averaged by tokens in two steps (within groups of shards, then over groups) and added, ROUNDS times, each
 on its share of the documents; all training documents take part. Scoring works on batches of sparse rows in numpy.
 
-Defined cases: null and empty texts have one token, the end. A null id is in training (its crc32 counts as none). With no training tokens the base is uniform
-over the one unknown token and the score equals the base. Repeated rows are scored alike. Other columns are not read.
+Defined cases: null and empty texts have one token, the end. A row with a null id takes part in the training. With no
+training tokens every token is the one unknown token, and the score equals the base. Repeated rows are scored alike.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import UPPER, binary_texts, id_text, saved
+from remitta.llm.common import UPPER, binary_texts, id_text, release, saved
 
 FOLDS, HELD_OUT = 5, 1
 COMMON = 200_000
@@ -69,6 +70,7 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     seen.update(words(text))
                 seen[END.encode()] = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        release()
 
     counted = _training(id_text(docs, id_col, text_col)).mapInArrow(run, "word string, n bigint")
     return saved(counted.groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
@@ -180,20 +182,27 @@ class Weights:
 
 
 def _softmax(table: np.ndarray, at: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
-    z = prior + table[at[0]]
+    """Rows that sum to one. The logits are log-priors plus small weights; the bound only keeps exp() finite."""
+    z = np.take(table, at[0], axis=0, mode="clip")
+    more = np.empty_like(z)
     for a in at[1:]:
-        z += table[a]
-    z -= z.max(1, keepdims=True)
+        np.take(table, a, axis=0, out=more, mode="clip")
+        z += more
+    z += prior
+    np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= (1 / (np.einsum("ij->i", z) + np.float32(1e-30)))[:, None]
     return z
 
 
 def _descend(table: np.ndarray, at: list[np.ndarray], error: np.ndarray) -> None:
     """One step. Of several tokens of a step in one bucket the last one's gradient counts: a sample of one, at less than half the cost of their mean."""
     error *= np.float32(RATE)
+    row = np.empty_like(error)
     for a in at:
-        table[a] -= error
+        np.take(table, a, axis=0, out=row, mode="clip")
+        row -= error
+        table[a] = row
 
 
 def learn(w: Weights, known: Common, batch: Batch) -> None:
@@ -261,6 +270,8 @@ def train(spark: SparkSession, docs: DataFrame, counts, id_col: str = "doc_id",
             if tokens:
                 parts = [*_split(own.classes - now.value.classes), *_split(own.words - now.value.words)]
                 yield _message(np.arange(len(parts)), [crc32(b"%d" % tokens) % 1024] * len(parts), parts, tokens)
+            del own
+            release()
 
         changes = share.mapInArrow(run, _MESSAGE)
         for key in (["part", "unit"], ["part"]):
@@ -328,6 +339,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                     [part.column(0), pa.array([held_out(i) for i in part.column(0).to_pylist()]), pa.array(b.sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
                     ["doc_id", "held_out", "n_tokens", "n_common", "base", "model", "others"],
                 )
+        release()
 
     scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_common bigint, base double, model double, others array<struct<w:string,n:bigint>>")
     # written once, so a row keeps its number however often later stages are run
