@@ -312,7 +312,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, n_links (other fingerprints' links kept for its fingerprint's component are not counted); one row per row of docs."""
+    """doc_id, fingerprint (16 hex digits), component_id; one row per row of docs."""
     prints = saved(fingerprints(docs, id_col, text_col), "simhash")
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     n = distinct.count()
