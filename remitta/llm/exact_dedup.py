@@ -26,6 +26,9 @@ BLANKS = r"[\x20\x09-\x0D]+"
 #: Most hit digests that are sent to every executor; above it all texts take part in the comparison.
 BROADCAST_HITS = 200_000
 
+#: Arrivals for each state store, at least.
+STORE_ROWS = 25_000
+
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -69,8 +72,12 @@ class StreamingDedup:
             batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
             parts.append(number)
 
-        old = {k: self.spark.conf.get(k, None) for k in _STATE}
-        for k, v in _STATE.items():
+        # as many stores as the first arrivals need, up to the session's partitions; a stream that goes on keeps its number
+        rows = self.spark.read.schema(schema).parquet(arrivals_path).count()
+        stores = max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // STORE_ROWS)))
+        wanted = _STATE | {"spark.sql.shuffle.partitions": str(stores)}
+        old = {k: self.spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
             self.spark.conf.set(k, v)
         try:
             query = seen.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", self.state_dir).trigger(availableNow=True).start()
