@@ -608,7 +608,7 @@ def w15_round_trip(spark, sf_dir):
     """Tables to files and back: nothing is lost or new, but for the numbers of segments."""
     first = Remittance(remittances(spark, sf_dir))
     written = writer.write_files(first.tables, writer.Envelope(sender="PAYER", receiver="RECEIVER", date="20240110", time="0900"))
-    again = Remittance(written.select("filename", "content"))
+    again = Remittance(written.select("filename", "content").persist())  # read once for each table
     out = None
     for name in builtin().table_names:
         a, b = (r.table(name).drop("segment").withColumn("side", F.lit(k)) for k, r in ((1, first), (-1, again)))
