@@ -37,6 +37,7 @@ COMMON = 200_000
 CLASSES, CLASS_SIZE = 32, 32
 VOCABULARY = CLASSES * CLASS_SIZE
 BUCKETS = 1 << 15
+_BUCKET = np.min_scalar_type(BUCKETS - 1)  # sixteen bits are sorted by radix
 ROUNDS, RATE = 2, 0.1
 STEP, CHUNK = 1024, 8192  # tokens of a gradient step, and of a scoring step
 SHARD_TOKENS = 2_000_000
@@ -196,13 +197,25 @@ def _softmax(table: np.ndarray, at: list[np.ndarray], prior: np.ndarray) -> np.n
 
 
 def _descend(table: np.ndarray, at: list[np.ndarray], error: np.ndarray) -> None:
-    """One step. Of several tokens of a step in one bucket the last one's gradient counts: a sample of one, at less than half the cost of their mean."""
-    error *= np.float32(RATE)
-    row = np.empty_like(error)
+    """One step: the gradients of all tokens of a bucket are added up; their weight falls with their number, and is RATE for one."""
     for a in at:
-        np.take(table, a, axis=0, out=row, mode="clip")
-        row -= error
-        table[a] = row
+        order = a.astype(_BUCKET).argsort(kind="stable")
+        rows = a[order]
+        begins = np.ones(len(a) + 1, bool)
+        np.not_equal(rows[1:], rows[:-1], out=begins[1:-1])
+        first = begins.nonzero()[0]
+        n, first = first[1:] - first[:-1], first[:-1]
+        change = np.take(error, order[first], axis=0, mode="clip")
+        several = (n > 1).nonzero()[0]
+        if len(several):
+            m = n[several]
+            begin = np.cumsum(m) - m
+            tokens = order[np.repeat(first[several] - begin, m) + np.arange(m.sum())]
+            change[several] = np.add.reduceat(np.take(error, tokens, axis=0, mode="clip"), begin, axis=0)
+        change *= (np.float32(2 * RATE) / (n + 1).astype(np.float32))[:, None]
+        row = np.take(table, rows[first], axis=0, mode="clip")
+        row -= change
+        table[rows[first]] = row
 
 
 def learn(w: Weights, known: Common, batch: Batch) -> None:

@@ -74,3 +74,22 @@ def test_probabilities_sum_to_one():
     end = 10 ** lm.log10_p(w, known, lm.Batch([b"w1 w2"], known))[2]
     unseen = 10 ** (lm.log10_p(w, known, lm.Batch([b"w1 w2 unseen"], known))[2]) * (0.5 / known.total())
     assert abs(total + end + unseen - 1) < 1e-3
+
+
+def test_all_gradients_of_a_bucket_count():
+    error = np.array([[1, -1], [2, 0], [0, 4], [8, 8]], np.float32)
+    table = np.zeros((lm.BUCKETS, 2), np.float32)
+    lm._descend(table, [np.array([3, 7, 3, 3])], error.copy())
+    assert np.allclose(table[7], -lm.RATE * error[1]) and np.allclose(table[3], -lm.RATE * 2 / 4 * (error[0] + error[2] + error[3]))
+    assert np.count_nonzero(table.any(1)) == 2
+
+    # one text that repeats a history: what follows it most must win, whatever comes last in the step
+    text = b"a b " * 300 + b"a c"
+    c = Counter([*text.split(), b"\n"])
+    top = sorted(c, key=lambda w: (-c[w], w))
+    known = lm.Common(top, np.array([c[w] for w in top], float), sum(c.values()), len(c))
+    w = lm.Weights.zero()
+    lm.learn(w, known, lm.Batch([text], known))
+    after = lm.Batch([b"a b", b"a c"], known)
+    got = lm.log10_p(w, known, after) - lm.log10_p(lm.Weights.zero(), known, after)
+    assert got[1] > 0 and got[1] > got[4]
