@@ -3,6 +3,8 @@
 toxicity: documents that it rejects go. exact_dedup: one document of each group of equal texts stays. near_dedup: one
 document of each SimHash group stays, the one with the smallest id. decontamination: documents that hold benchmark
 windows go. bpe: the remaining documents are encoded and decoded.
+
+Rows are decided on and dropped one by one: ids may be null or stand on several rows. Null ids come after all others.
 """
 
 from __future__ import annotations
@@ -20,21 +22,31 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(spark, docs, table(spark, sf_dir, "labels"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written once so it stays, and a key that orders rows by id, then number."""
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return rows.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
+
+
+def _without(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """The numbered rows but for those whose key is the doc_id of `decided`."""
+    dropped = saved(decided.select(F.col("doc_id.row").alias("__row")), "dropped")
+    return without_ids(rows, dropped, "__row").drop("__row", "__key")
+
+
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = saved(exact.exact_dedup(spark, docs).filter(~F.col("kept")).select("doc_id"), "dropped")
-    return without_ids(docs, dropped)
+    rows = _numbered(docs)
+    return _without(rows, exact.exact_dedup(spark, rows, "__key").filter(~F.col("kept")))
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(spark, docs)
-    dropped = saved(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "dropped")
-    return without_ids(docs, dropped)
+    rows = _numbered(docs)
+    return _without(rows, simhash.simhash_groups(spark, rows, "__key").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = winnowing.decontaminate(spark, docs, table(spark, sf_dir, "benchmark"))
-    dropped = saved(found.filter("contaminated").select("doc_id"), "dropped")
-    return without_ids(docs, dropped)
+    rows = _numbered(docs)
+    return _without(rows, winnowing.decontaminate(spark, rows, table(spark, sf_dir, "benchmark"), "__key").filter("contaminated"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

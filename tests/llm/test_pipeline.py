@@ -43,3 +43,29 @@ def test_registered_names():
 
     names = set(e.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Null ids and ids on several texts: each row stands for itself."""
+    import corpus_pipeline as P
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    text = lambda k: " ".join(f"{k}x{j}" for j in range(300))
+    rows = [(1, text("a")), (None, text("a")), (None, text("b")), (2, text("c")), (2, text("d")), (3, text("d")), (4, text("e")), (4, text("e")), (None, text("f")), (None, text("f") + " tail"), (5, f"before {item} after"), (5, text("g")), (None, f"then {item} too"), (None, text("h"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    unique = P.exact_copies_out(spark, docs, str(tmp_path))
+    gone = [(None, text("a")), (3, text("d")), (4, text("e"))]
+    left = rows.copy()
+    for x in gone:
+        left.remove(x)
+    assert of(unique) == sorted(left, key=repr) and unique.columns == docs.columns
+
+    apart = P.near_copies_out(spark, docs.filter("text like 'fx0%' or text like 'hx0%' or text like 'ax0%'"), str(tmp_path))
+    texts = [t for _, t in of(apart)]
+    assert len(texts) == 3 and text("h") in texts and (1, text("a")) in of(apart)
+
+    clean = P.contaminated_out(spark, docs, str(tmp_path))
+    assert of(clean) == sorted([x for x in rows if item not in x[1]], key=repr)
