@@ -67,3 +67,11 @@ def test_rows(spark, model):
     assert by[1].n_chars == len(by[1].text) and by[4].n_chars > 900_000
     assert T.main_text(spark, df.limit(0), model=model).count() == 0
     assert T.main_text(spark, df).count() == len(rows)
+
+
+def test_formulas_drawings_and_objects_are_text(model):
+    inside = '<p>Energy is <math><mi>E</mi><mo>=</mo><msup><mi>mc</mi><mn>2</mn></msup></math> as everybody knows by now.</p><svg><style>x{}</style><text>A label of the drawing</text></svg><object data="x"><p>What the object says to readers, at length.</p></object>'
+    page = T.Page(f"<body><article>{inside}</article></body>")
+    assert page.text([True] * len(page.tags)) == "Energy is E=mc2 as everybody knows by now.\nA label of the drawing\nWhat the object says to readers, at length."
+    text, _ = model.extract(PAGE.replace("<!-- a comment -->", inside))
+    assert "E=mc2" in text and "What the object says" in text
