@@ -34,7 +34,7 @@ _KEPT = 200_000
 
 
 def shape(token: str) -> int:
-    s = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64])
+    s = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
     return crc32(b"shape " + _RUN.sub(r"\1\1", s).encode("utf-8", "replace"))
 
 

@@ -130,3 +130,9 @@ def test_kneser_ney_sums_to_one():
         for c in alphabet:
             total += np.exp(m.position_scores(np.array([ord(x) for x in context + c], np.uint32))[0])
         assert (abs(total + np.exp(m.floor) - 1) < 0.12).all(), (context, total)
+
+
+def test_shape_of_a_whole_token():
+    from remitta.llm.quality import shape
+
+    assert shape("a" * 64 + "-1") != shape("a" * 64) and shape("a" * 500) == shape("aa")
