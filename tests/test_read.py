@@ -197,3 +197,12 @@ def test_native_lexer_agrees(spark, folder):
     want = {(r.filename, r.segment): (r.id, [[p.decode("latin-1") for p in e] for e in r.elements], r.terminated, r.raw_start, r.raw_end) for r in ours}
     assert {(r.filename, r.segment): (r.id, r["elements"], r.terminated, r.raw_start, r.raw_end) for r in native} == want
     assert native_lexer.delimiters_of(files).filter("repetition = '^'").count() == 2
+
+
+def test_native_lexer_skips_any_amount_of_blanks(spark):
+    from remitta.operators import native_lexer
+
+    data = [("plain", bytearray(sample())), ("blanks", bytearray(b" \r\n" * 3000 + sample()))]
+    got = native_lexer.segments(spark.createDataFrame(data, "filename string, content binary")).collect()
+    of = lambda name: sorted((r.segment, r.id, r["elements"]) for r in got if r.filename == name)
+    assert of("plain") and of("blanks") == of("plain")
