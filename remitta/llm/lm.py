@@ -5,13 +5,16 @@ exactly: each task counts its batches, the counts are summed by word and written
 of a text is its smoothed unigram log-probability. The COMMON most frequent words go to every task; all other words
 of a text, none of which is frequent, are joined with the counts.
 
-Model. The VOCABULARY most frequent tokens make CLASSES classes of equal size by rank; one more class holds all other
-words. P(token) = P(class | history) P(token | class, history): both are softmaxes over hashed features of the history
-(the last word, the last two, the word before the last, the third last), added to log-priors from the counts. Words of
-the last class share its probability in proportion to their base probability, so the model is normalised. Training is
-stochastic gradient descent in every shard of the training documents, starting from the common weights; the weights'
-changes are averaged by tokens in two steps (within groups of shards, then over groups) and added, ROUNDS times, each
-on its share of the documents; all training documents take part. Scoring works on batches of sparse rows in numpy.
+Model. The VOCABULARY most frequent tokens (ties by word) make CLASSES classes of GROUPS groups of GROUP_SIZE words, by
+rank; one more class holds all other words. P(token) = P(class | history) P(group | class, history) P(token | group,
+history), each a softmax over hashed features of the history (the last word, the last two, the word before the last,
+the third last) added to log-priors from the counts. Words of the last class share its probability in proportion to
+their base probability, so the model is normalised. Training is stochastic gradient descent in every shard of the training documents, starting from the common weights; the weights'
+changes are averaged by tokens in steps of at most FAN messages and added, ROUNDS times, each on its share of the
+documents; all training documents take part. Scoring works on batches of sparse rows in numpy.
+
+The score depends on the rows of the table alone, not on how they are partitioned: shards are made by a hash of id and
+text, are as many as the training tokens ask for, and are read in the order of that hash; sums go by shard number.
 
 Defined cases: null and empty texts have one token, the end. A row with a null id takes part in the training. With no
 training tokens every token is the one unknown token, and the score equals the base. Repeated rows are scored alike.
@@ -27,6 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +38,14 @@ from remitta.llm.common import UPPER, binary_texts, id_text, release, saved
 
 FOLDS, HELD_OUT = 5, 1
 COMMON = 200_000
-CLASSES, CLASS_SIZE = 32, 32
-VOCABULARY = CLASSES * CLASS_SIZE
+CLASSES, GROUPS, GROUP_SIZE = 32, 32, 32
+VOCABULARY = CLASSES * GROUPS * GROUP_SIZE
 BUCKETS = 1 << 15
 _BUCKET = np.min_scalar_type(BUCKETS - 1)  # sixteen bits are sorted by radix
 ROUNDS, RATE = 2, 0.1
-STEP, CHUNK = 1024, 8192  # tokens of a gradient step, and of a scoring step
+STEP, CHUNK = 4096, 8192  # tokens of a gradient step, and of a scoring step
 SHARD_TOKENS = 2_000_000
+FAN = 32  # messages that are averaged at a time
 PARTS = 32  # pieces of the weights that are averaged apart
 END = "\n"  # no word holds it
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -104,14 +109,15 @@ class Common:
     def _derive(self):
         self.base = np.log10((self.counts + 0.5) / self.total())
         n = min(VOCABULARY, len(self.index))
-        grid = np.full((CLASSES, CLASS_SIZE), -np.inf)
-        p = 10.0 ** self.base[:n]
-        grid.reshape(-1)[:n] = np.log(p)
+        p = np.zeros(VOCABULARY)
+        p[:n] = 10.0 ** self.base[:n]
+        words = p.reshape(CLASSES * GROUPS, GROUP_SIZE)
+        groups = words.sum(1).reshape(CLASSES, GROUPS)
         rest = max(1 - p.sum(), 1e-12)
-        with np.errstate(divide="ignore"):
-            by_class = np.log(np.exp(grid).sum(1))
-        self.class_prior = np.r_[by_class, math.log(rest)].astype(np.float32)
-        self.word_prior = np.where(np.isfinite(by_class)[:, None], grid - np.where(np.isfinite(by_class), by_class, 0)[:, None], -np.inf).astype(np.float32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.class_prior = np.log(np.r_[groups.sum(1), rest]).astype(np.float32)
+            self.group_prior = np.where(groups > 0, np.log(groups / groups.sum(1, keepdims=True)), -np.inf).astype(np.float32)
+            self.word_prior = np.where(words > 0, np.log(words / words.sum(1, keepdims=True)), -np.inf).astype(np.float32)
         self.log_rest = math.log10(rest)
         self.n_vocabulary = n
 
@@ -120,21 +126,24 @@ class Common:
 
 
 def common(counts: DataFrame) -> Common:
-    """The most frequent words: as many whole steps of frequency as COMMON words hold, so what comes to the driver is bounded."""
+    """The COMMON most frequent words, ties by word. Whole steps of frequency come to the driver, and of the step that passes the bound only the first words."""
     step = F.floor(F.log2("n") * 64).cast("long")
     steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
+    tokens, distinct = sum(s.n for s in steps), sum(s.v for s in steps)
     least, held = None, 0
     for s in steps:
         if held + s.v > COMMON:
             break
         least, held = s.step, held + s.v
-    if least is None:
-        return Common([], np.zeros(0), sum(s.n for s in steps), sum(s.v for s in steps))
-    top = counts.filter(step >= least).select("word", "n").toArrow()
+    chosen = counts.filter(step >= least).select("word", "n") if least is not None else counts.limit(0).select("word", "n")
+    if held < min(COMMON, distinct):
+        cut = counts.filter(step == next(s.step for s in steps if least is None or s.step < least)).select("word", "n")
+        chosen = chosen.unionByName(cut.orderBy(F.desc("n"), "word").limit(COMMON - held))
+    top = chosen.toArrow()
     words = [w.encode() for w in top["word"].to_pylist()]
     n = top["n"].to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
-    return Common([words[i] for i in order], n[order].astype(np.float64), sum(s.n for s in steps), sum(s.v for s in steps))
+    return Common([words[i] for i in order], n[order].astype(np.float64) if len(order) else np.zeros(0), tokens, distinct)
 
 
 class Batch:
@@ -163,8 +172,9 @@ class Batch:
         mix = lambda x, salt: (x + np.uint64(salt)) * m
         self.features = [mix(b1, 1), mix(mix(b1, 2) ^ b2, 3), mix(b2, 5), mix(b3, 7)]
         vocabulary = (self.index >= 0) & (self.index < VOCABULARY)
-        self.classes = np.where(vocabulary, self.index // CLASS_SIZE, CLASSES)
-        self.within = np.where(vocabulary, self.index % CLASS_SIZE, 0)
+        self.classes = np.where(vocabulary, self.index // (GROUPS * GROUP_SIZE), CLASSES)
+        self.groups = np.where(vocabulary, self.index // GROUP_SIZE, 0)  # numbered through all classes
+        self.within = np.where(vocabulary, self.index % GROUP_SIZE, 0)
 
 
 def _bucket(feature: np.ndarray, extra=0) -> np.ndarray:
@@ -175,11 +185,15 @@ def _bucket(feature: np.ndarray, extra=0) -> np.ndarray:
 @dataclasses.dataclass
 class Weights:
     classes: np.ndarray  # BUCKETS x (CLASSES + 1)
-    words: np.ndarray  # BUCKETS x CLASS_SIZE
+    groups: np.ndarray  # BUCKETS x GROUPS
+    words: np.ndarray  # BUCKETS x GROUP_SIZE
 
     @staticmethod
     def zero() -> Weights:
-        return Weights(np.zeros((BUCKETS, CLASSES + 1), np.float32), np.zeros((BUCKETS, CLASS_SIZE), np.float32))
+        return Weights(*(np.zeros((BUCKETS, n), np.float32) for n in (CLASSES + 1, GROUPS, GROUP_SIZE)))
+
+    def tables(self) -> list[np.ndarray]:
+        return [self.classes, self.groups, self.words]
 
 
 def _softmax(table: np.ndarray, at: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
@@ -218,20 +232,24 @@ def _descend(table: np.ndarray, at: list[np.ndarray], error: np.ndarray) -> None
         table[rows[first]] = row
 
 
+def _levels(w: Weights, known: Common, batch: Batch, cut: slice):
+    """For the class, the group and the word: tokens, weights, buckets of the features, priors, and what came."""
+    c = batch.classes[cut]
+    yield slice(None), w.classes, [_bucket(f[cut]) for f in batch.features], known.class_prior, c
+    inner = np.flatnonzero(c < CLASSES)
+    if len(inner):
+        c, g = c[inner], batch.groups[cut][inner]
+        of = [f[cut][inner] for f in batch.features]
+        yield inner, w.groups, [_bucket(f, c + 1) for f in of], known.group_prior[c], g % GROUPS
+        yield inner, w.words, [_bucket(f, g + CLASSES + 1) for f in of], known.word_prior[g], batch.within[cut][inner]
+
+
 def learn(w: Weights, known: Common, batch: Batch) -> None:
     for i in range(0, len(batch.index), STEP):
-        cut = slice(i, i + STEP)
-        c, k = batch.classes[cut], batch.within[cut]
-        at = [_bucket(f[cut]) for f in batch.features]
-        p = _softmax(w.classes, at, known.class_prior)
-        p[np.arange(len(c)), c] -= 1
-        _descend(w.classes, at, p)
-        inner = np.flatnonzero(c < CLASSES)
-        if len(inner):
-            at = [_bucket(f[cut][inner], c[inner] + 1) for f in batch.features]
-            p = _softmax(w.words, at, known.word_prior[c[inner]])
-            p[np.arange(len(inner)), k[inner]] -= 1
-            _descend(w.words, at, p)
+        for _, table, at, prior, came in _levels(w, known, batch, slice(i, i + STEP)):
+            p = _softmax(table, at, prior)
+            p[np.arange(len(came)), came] -= 1
+            _descend(table, at, p)
 
 
 def log10_p(w: Weights, known: Common, batch: Batch) -> np.ndarray:
@@ -239,15 +257,11 @@ def log10_p(w: Weights, known: Common, batch: Batch) -> np.ndarray:
     out = np.zeros(len(batch.index))
     for i in range(0, len(out), CHUNK):
         cut = slice(i, i + CHUNK)
-        c, k = batch.classes[cut], batch.within[cut]
-        p = _softmax(w.classes, [_bucket(f[cut]) for f in batch.features], known.class_prior)
-        part = np.log10(np.maximum(p[np.arange(len(c)), c], 1e-30), dtype=np.float64)
-        inner = np.flatnonzero(c < CLASSES)
-        if len(inner):
-            p = _softmax(w.words, [_bucket(f[cut][inner], c[inner] + 1) for f in batch.features], known.word_prior[c[inner]])
-            part[inner] += np.log10(np.maximum(p[np.arange(len(inner)), k[inner]], 1e-30))
-        other = c == CLASSES
-        part[other] -= known.log_rest
+        part = np.zeros(len(batch.index[cut]))
+        for which, table, at, prior, came in _levels(w, known, batch, cut):
+            p = _softmax(table, at, prior)
+            part[which] += np.log10(np.maximum(p[np.arange(len(came)), came], 1e-30), dtype=np.float64)
+        part[batch.classes[cut] == CLASSES] -= known.log_rest
         out[cut] = part
     return out
 
@@ -267,34 +281,33 @@ def _texts(batch: pa.RecordBatch, limit: int = 1 << 20):
 
 def train(spark: SparkSession, docs: DataFrame, counts, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Weights:
     w = Weights.zero()
-    rows = _training(id_text(docs, id_col, text_col))
-    shards = max(4, counts.value.tokens // SHARD_TOKENS)
+    rows = _training(id_text(docs, id_col, text_col)).select(F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text")
+    shards = max(1, counts.value.tokens // SHARD_TOKENS)
     for r in range(rounds):
         now = spark.sparkContext.broadcast(w)
-        share = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)) == r).coalesce(shards)
+        share = rows.filter(F.pmod("h", F.lit(rounds)) == r).repartition(shards, "h").sortWithinPartitions("h", "text")
 
         def run(batches):
-            own, tokens = Weights(now.value.classes.copy(), now.value.words.copy()), 0
+            own, tokens = Weights(*(t.copy() for t in now.value.tables())), 0
             for batch in batches:
                 for _, texts in _texts(batch):
                     b = Batch(texts, counts.value)
                     learn(own, counts.value, b)
                     tokens += len(b.index)
             if tokens:
-                parts = [*_split(own.classes - now.value.classes), *_split(own.words - now.value.words)]
-                yield _message(np.arange(len(parts)), [crc32(b"%d" % tokens) % 1024] * len(parts), parts, tokens)
+                parts = [x for new, old in zip(own.tables(), now.value.tables()) for x in _split(new - old)]
+                yield _message(np.arange(len(parts)), TaskContext.get().partitionId(), parts, tokens)
             del own
             release()
 
-        changes = share.mapInArrow(run, _MESSAGE)
-        for key in (["part", "unit"], ["part"]):
-            changes = changes.groupBy(*key).applyInArrow(_averaged, _MESSAGE)
+        changes, units = share.mapInArrow(run, _MESSAGE), shards
+        while units > 1:
+            units = -(-units // FAN)
+            changes = changes.withColumn("into", F.col("unit") % units).groupBy("part", "into").applyInArrow(_averaged, _MESSAGE)
         got = {m.part: np.frombuffer(m.change, np.float16).astype(np.float32) for m in changes.collect()}
         if got:
-            half = len(got) // 2
-            classes = np.concatenate([got[i] for i in range(half)]).reshape(w.classes.shape)
-            inner = np.concatenate([got[i] for i in range(half, 2 * half)]).reshape(w.words.shape)
-            w = Weights(w.classes + classes, w.words + inner)
+            for i, table in enumerate(w.tables()):
+                table += np.concatenate([got[i * PARTS + k] for k in range(PARTS)]).reshape(table.shape)
         now.destroy()
     return w
 
@@ -306,18 +319,17 @@ def _split(table: np.ndarray) -> list[bytes]:
     return [x.astype(np.float16).tobytes() for x in np.split(table, PARTS)]
 
 
-def _message(parts, units, changes, tokens) -> pa.RecordBatch:
+def _message(parts, unit: int, changes, tokens) -> pa.RecordBatch:
     n = len(changes)
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(units, pa.int32()), pa.array(changes, pa.binary()), pa.array([tokens] * n, pa.int64())], ["part", "unit", "change", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([unit] * n, pa.int32()), pa.array(changes, pa.binary()), pa.array([tokens] * n, pa.int64())], ["part", "unit", "change", "tokens"])
 
 
 def _averaged(rows: pa.Table) -> pa.Table:
     total, n = 0.0, 0
-    for r in rows.to_pylist():
-        total = total + np.frombuffer(r["change"], np.float16).astype(np.float32) * r["tokens"]
+    for r in rows.sort_by("unit").to_pylist():
+        total = total + np.frombuffer(r["change"], np.float16).astype(np.float64) * r["tokens"]
         n += r["tokens"]
-    unit = rows.column("unit")[0].as_py() % 32
-    return pa.Table.from_batches([_message([rows.column("part")[0].as_py()], [unit], [(total / n).astype(np.float16).tobytes()], n)])
+    return pa.Table.from_batches([_message([rows.column("part")[0].as_py()], rows.column("into")[0].as_py(), [(total / n).astype(np.float16).tobytes()], n)])
 
 
 def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:

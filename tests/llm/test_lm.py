@@ -76,6 +76,23 @@ def test_probabilities_sum_to_one():
     assert abs(total + end + unseen - 1) < 1e-3
 
 
+def test_score_depends_on_the_rows_alone(spark, rows, monkeypatch):
+    """However the table is partitioned, and in whatever order its rows come."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
+    df = spark.createDataFrame([*rows, (None, "no id"), (7, rows[7][1])], "doc_id bigint, text string")
+    of = lambda d: sorted(((r.doc_id is None, r.doc_id or 0, r.score, r.n_tokens) for r in lm.score(spark, d).collect()))
+    first = of(df.repartition(1))
+    for other in (df.repartition(4), df.repartition(16), df.orderBy(F.desc("text"))):
+        assert all(math.isclose(a[2], b[2], rel_tol=1e-7) and a[:2] == b[:2] for a, b in zip(first, of(other)))
+
+
+def test_frequent_words_are_bounded_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COMMON", 5)
+    counts = spark.createDataFrame([(w, 3) for w in "gfedcba"] + [("x", 900), ("y", 1)], "word string, n bigint")
+    known = lm.common(counts)
+    assert list(known.index) == [b"x", b"a", b"b", b"c", b"d"] and (known.tokens, known.distinct) == (922, 9)
+
+
 def test_all_gradients_of_a_bucket_count():
     error = np.array([[1, -1], [2, 0], [0, 4], [8, 8]], np.float32)
     table = np.zeros((lm.BUCKETS, 2), np.float32)
