@@ -23,14 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine (tests)."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         _own_dir = _own_dir or f"file://{tempfile.mkdtemp(prefix='remitta-')}"
         named = _own_dir
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -77,6 +77,12 @@ def hashed_sample(rows: DataFrame, id_col: str, n: int) -> DataFrame:
     return rows.orderBy(hash_rank(id_col), id_col).limit(n)
 
 
+def one_text(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, text: of the rows that repeat the keys one, the same each time. Each task folds them before the shuffle, so a key on many rows brings one text."""
+    first = F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t")))
+    return rows.groupBy(*keys).agg(first.alias("first")).select(*keys, F.col("first.t").alias(text))
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose id is not in `ids` (one column, named as id_col). A null id matches a null id.
 
