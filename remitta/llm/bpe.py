@@ -7,7 +7,8 @@ until the token outside and the first (last) token inside are stable, or nothing
 whose neighbours are all stable is the encoding of its bytes, so tokens outside the window can't change. Decoding
 joins the tokens' bytes up the same kind of tree.
 
-Defined cases: null and empty texts have no tokens (digests of no bytes). Other columns are not read.
+Defined cases: null and empty texts have no tokens (digests of no bytes). A text or piece of any length is encoded
+whole. Repeated rows get equal results, an empty table gives an empty result, other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,13 +7,14 @@ exact marginals on a tree; text whose nearest element has a marginal over one ha
 
 Trained on labelled pages by gradient ascent of the likelihood: pages generated from varied templates, where each
 part is known to be article, menu, header, footer, sidebar, notice, advert, form or reader comments; and a sample of
-at most `sample_pages` of the given pages that mark their article with the article or main element, labelled by the
+at most `sample_pages` of the given pages (of at most `sample_chars` characters) that mark their article with the article or main element, labelled by the
 elements' meaning (nav, aside, footer and so on are not content).
 
-Defined cases: null and empty pages, and pages without content, give an empty text. Scripts, styles, templates, the
-head and comments of the markup never count as text. Unclosed and misnested tags are closed where the next block or
+Defined cases: null and empty pages, and pages without content, give an empty text. Scripts, what stands in their place
+where they don't run, styles, templates, the head and comments of the markup never count as text. Unclosed and misnested tags are closed where the next block or
 an ancestor's end implies it. Inside a block all white space becomes one space; blocks are joined by a newline.
-Repeated rows give equal texts; other columns are not read.
+Repeated rows give equal texts, of rows that repeat an id one is learned from, an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import html
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import hashed_sample
+from remitta.llm.common import hashed_sample, one_text
 
 SAMPLE_PAGES = 150
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?|[^<]+|<""", re.S)
@@ -36,14 +38,13 @@ _ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style template head title iframe noembed noframes".split())
+HIDDEN = frozenset("script noscript style template head title iframe noembed noframes".split())
 _MATH = "math maction maligngroup malignmark menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml"
 INLINE = frozenset(f"a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr {_MATH}".split())
 #: An open p ends where one of these begins.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: An open element of the key ends where one of these begins, unless one of the last ones is between.
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"})}
-_SCOPE = frozenset("html body table td th button article section main div".split())
 
 
 class Page:
@@ -53,7 +54,15 @@ class Page:
         self.tags, self.attrs, self.parent, self.depth, self.hidden = ["#root"], [""], [-1], [0], [False]
         self.pieces: list[tuple[int, str | None]] = []
         stack, raw = [0], None
-        tags = self.tags
+        tags, place, blocks = self.tags, defaultdict(list), [0]  # where in the stack the elements of a tag, and those that aren't inline, are
+
+        def cut(k: int) -> None:
+            for i in stack[k:]:
+                place[tags[i]].pop()
+            del stack[k:]
+            while blocks[-1] >= k:
+                blocks.pop()
+
         at, n = 0, len(source)
         while at < n:
             if raw:
@@ -62,7 +71,7 @@ class Page:
                     self._text(stack[-1], source[at : end.start() if end else n])
                 at = end.end() if end else n
                 if raw == tags[stack[-1]]:
-                    stack.pop()
+                    cut(len(stack) - 1)
                 raw = None
                 continue
             m = _TOKEN.match(source, at)
@@ -74,30 +83,20 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == name:
-                        if any(tags[i] not in INLINE for i in stack[k:]):
-                            self.pieces.append((stack[k], None))
-                        del stack[k:]
-                        break
+                if place[name]:
+                    k = place[name][-1]
+                    if any(tags[i] not in INLINE for i in stack[k:]):
+                        self.pieces.append((stack[k], None))
+                    cut(k)
                 continue
-            if name in _ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == "p":
-                        del stack[k:]
-                        break
-                    if tags[stack[k]] in _SCOPE or tags[stack[k]] not in INLINE:
-                        break
+            if name in _ENDS_P and tags[stack[blocks[-1]]] == "p":
+                cut(blocks[-1])
             if name in _SIBLINGS:
                 ended, within = _SIBLINGS[name]
-                cut = None
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] in within:
-                        break
-                    if tags[stack[k]] in ended:
-                        cut = k
-                if cut:
-                    del stack[cut:]
+                last = max((place[t][-1] for t in within if place[t]), default=0)
+                k = min((place[t][i] for t in ended if (i := bisect_right(place[t], last)) < len(place[t])), default=None)
+                if k:
+                    cut(k)
             up = stack[-1]
             number = len(tags)
             tags.append(name)
@@ -110,6 +109,9 @@ class Page:
             elif name not in INLINE:
                 self.pieces.append((number, None))
             if name not in VOID and not m[0].endswith("/>"):
+                place[name].append(len(stack))
+                if name not in INLINE:
+                    blocks.append(len(stack))
                 stack.append(number)
                 if name in RAW:
                     raw = name
@@ -343,6 +345,13 @@ def generated(n: int, seed: int = 3) -> list[tuple[str, str]]:
             text.append(inner)
             return f"<{tag}{mark}>{inner}</{tag}>"
 
+        def data_table() -> str:
+            wide, y = rng.randint(2, 5), ' data-y="1"'
+            cell = lambda tag: block(tag, rng.choice([words(1, 3), str(rng.randint(1, 9999)), f"{rng.random():.2f}"]))
+            head = f"<tr{y}>" + "".join(cell("th") for _ in range(wide)) + "</tr>"
+            rows = "".join(f"<tr{y}>" + "".join(cell("td") for _ in range(wide)) + "</tr>" for _ in range(rng.randint(1, 6)))
+            return rng.choice([f"<table{y}>{head}{rows}</table>", f"<table{y}><thead{y}>{head}</thead><tbody{y}>{rows}</tbody></table>"])
+
         body = [block(rng.choice(["h1", "h1", "h2"]), words(3, 9).capitalize())] if rng.random() < 0.9 else []
         for _ in range(rng.randint(1, 12)):
             r = rng.random()
@@ -363,8 +372,10 @@ def generated(n: int, seed: int = 3) -> list[tuple[str, str]]:
                 a, b, c = words(2, 5), words(1, 3), sentences(1, 2)
                 text.append(f"{a} {b} {c}")
                 body.append(f'<p data-y="1">{a} <a data-y="1" href="/l">{b}</a> {c}</p>')
-            elif r < 0.94:
+            elif r < 0.93:
                 body.append(block("pre", words(4, 20)))
+            elif r < 0.95:
+                body.append(data_table())
             else:
                 body.append(part(rng.choice(["ad", "aside", "notice", "form"])))
         wrap = rng.choice(["article", "article", "div", "div", "main", "section", "td"])
@@ -414,10 +425,10 @@ def by_meaning(source: str) -> tuple[Page, list[bool]] | None:
     return page, truth
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES, made: int = 250) -> TreeModel:
-    got = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).filter(F.length("h") <= 100_000)
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = 100_000, made: int = 250) -> TreeModel:
+    got = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).filter(F.length("h") <= sample_chars)
     ids = F.broadcast(hashed_sample(got.select("i").filter("i is not null"), "i", sample_pages).distinct())
-    sources = sorted(r.h for r in got.join(ids, "i").select("h").collect())[: 2 * sample_pages]
+    sources = sorted(r.h for r in one_text(got.join(ids, "i"), ["i"], "h").collect())
     known = [x for x in map(by_meaning, sources) if x]
     return fit([labelled(h) for h, _ in generated(made)] + known)
 

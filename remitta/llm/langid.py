@@ -3,15 +3,17 @@
 One model per language, of order four, over lower-case letters with everything else as a blank. N-grams are 64-bit
 hashes in sorted arrays: for every n-gram seen in training, of any language, the row of its log-probabilities under
 all languages; for every context its back-off weights. A text gets the language with the least cross-entropy per
-character. The score is the posterior of that language after a temperature fitted on texts that the models didn't
-see; `rejected` tells texts whose cross-entropy is above what 99.5 % of those texts have.
+character. The score is the posterior of that language; how the evidence counts (a temperature, and the power of the
+length) is fitted on texts that the models didn't see; `rejected` tells texts whose cross-entropy is above what 99.5 % of those texts have.
 
 Learning uses at most `rows_per_language` whole documents for each language, chosen by the hash of their id (half
 for the counts, half for calibration); documents without text, language or id take no part. Prediction reads only
 the text.
 
 Defined cases: null texts and texts without letters are `und` with score 0, and so is every text if nothing could be
-learned. Equal cross-entropies go to the language first in order. Other columns are not read.
+learned. Equal cross-entropies go to the language first in order. Repeated rows get equal results; of rows that repeat
+an id and a language one text is learned from. An empty table gives an empty result, a text of any length is read
+whole, other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from remitta.llm.common import _HASHES, hash_rank, slices
+from remitta.llm.common import _HASHES, hash_rank, one_text, slices
 
 ORDER = 4
 ROWS_PER_LANGUAGE = 400
@@ -78,6 +80,7 @@ class Models:
     log_backoff: list[np.ndarray]
     floor: np.ndarray  # log-probability of an unseen letter
     temperature: float = 1.0
+    power: float = 1.0  # how much more the evidence of a longer text counts
     limits: np.ndarray | None = None
 
     def position_scores(self, c: np.ndarray) -> np.ndarray:
@@ -138,7 +141,7 @@ class Models:
         return out, size
 
     def posterior(self, entropy: np.ndarray, size: np.ndarray) -> np.ndarray:
-        logits = -(entropy - entropy.min(1, keepdims=True)) * np.minimum(size, 200)[:, None] * self.temperature
+        logits = -(entropy - entropy.min(1, keepdims=True)) * (size**self.power)[:, None] * self.temperature
         p = np.exp(np.clip(logits, -60, 0))
         return p / p.sum(1, keepdims=True)
 
@@ -223,11 +226,11 @@ def learn(training: list[tuple[str, str]], calibration: list[tuple[str, str]]) -
     entropy, size = entropy[ok], size[ok]
     m.limits = np.full(len(languages), np.inf)
     if len(truth):
-        def loss(t: float) -> float:
-            m.temperature = t
+        def loss(scale: tuple[float, float]) -> float:
+            m.power, m.temperature = scale
             return -np.log(m.posterior(entropy, size)[np.arange(len(truth)), truth].clip(1e-12)).mean()
 
-        m.temperature = min((0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0), key=loss)
+        m.power, m.temperature = min(((p, t) for p in (0.25, 0.5, 0.75, 1.0) for t in (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 2.0, 5.0)), key=loss)
         for k in range(len(languages)):
             if (truth == k).any():
                 m.limits[k] = np.quantile(entropy[truth == k, k], 0.995) + 0.25
@@ -240,10 +243,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = usable.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"))
     # rows that can't be among those of their language go first, so no task gets many rows of one language
     share = rows.groupBy("lang").agg(F.least(F.lit(_HASHES), F.lit(2.0 * (rows_per_language + 50) * _HASHES) / F.count(F.lit(1))).alias("below"))
-    rows = rows.join(F.broadcast(share), "lang").filter(hash_rank("i") < F.col("below")).drop("below")
+    rows = rows.join(F.broadcast(share), "lang").filter(hash_rank("i") < F.col("below")).select("i", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(hash_rank("i"), "i"))
-    chosen = rows.withColumn("r", rank).filter(F.col("r") <= rows_per_language).select("i", "r").distinct()
-    got = usable.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("lang", "t", "r").collect()
+    chosen = rows.withColumn("r", rank).filter(F.col("r") <= rows_per_language)
+    texts = usable.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("t"))
+    got = one_text(texts.join(F.broadcast(chosen), ["i", "lang"]), ["i", "lang", "r"], "t").collect()
     got = sorted(got, key=lambda r: (r.lang, r.r, r.t))
     return learn([(r.lang, r.t) for r in got if r.r % 2 == 1], [(r.lang, r.t) for r in got if r.r % 2 == 0])
 

@@ -8,6 +8,7 @@ weights zero. What goes to the executors is the list of non-zero weights and the
 from __future__ import annotations
 
 import dataclasses
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -84,6 +85,28 @@ def _within(x: Sparse, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return col[hit], x.rows()[hit], np.ones(int(hit.sum()), np.float32) if x.values is None else x.values[hit]
 
 
+def likelihood(score: np.ndarray, theta: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades, and its derivatives by each score and by each threshold."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    n = len(y)
+    hi, lo = sig(np.r_[theta, np.inf][y] - score), sig(np.r_[-np.inf, theta][y] - score)
+    hi[y == len(theta)], lo[y == 0] = 1.0, 0.0
+    p = np.maximum(hi - lo, 1e-9)
+    g_hi, g_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    g_theta = (np.bincount(y, -g_hi, len(theta) + 1)[:-1] + np.bincount(y, g_lo, len(theta) + 1)[1:]) / n
+    return float(-np.log(p).mean()), (g_hi - g_lo) / n, g_theta
+
+
+def split_grades(x: Sparse, yes: np.ndarray, ids: list) -> np.ndarray:
+    """Three grades from ratings that say only yes or no: a two-grade model fitted on each half of the rows rates the others; the yes above the median are grade 2, the other yes 1, no 0."""
+    half = np.array([crc32(str(i).encode()) % 2 for i in ids], np.int64)
+    rating = np.zeros(len(x))
+    for h in (0, 1):
+        rating[half == h] = fit(x.take(half != h), yes[half != h], 2).score_rows(x.take(half == h))
+    middle = np.median(rating[yes]) if yes.any() else 0.0
+    return yes.astype(int) + (yes & (rating > middle))
+
+
 def fit(x: Sparse, grades, n_grades: int, l1: float = 2e-4, steps: int = 400, rate: float = 0.1) -> CumulativeLink:
     """x: the features of each rated text. With one grade only no feature has a weight; with no rows everything is of grade 0."""
     y = np.asarray(grades, np.int64)
@@ -106,18 +129,11 @@ def fit(x: Sparse, grades, n_grades: int, l1: float = 2e-4, steps: int = 400, ra
     mom, var = np.zeros(m + len(theta)), np.zeros(m + len(theta))
     gap = np.log(np.diff(theta)) if len(theta) > 1 else np.zeros(0)
     first = theta[0]
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
     for step in range(1, steps + 1):
         theta = first + np.r_[0, np.cumsum(np.exp(gap))]
         s = np.bincount(at, w[col] * value, n)
-        upper, lower = np.r_[theta, np.inf][y] - s, np.r_[-np.inf, theta][y] - s
-        hi, lo = np.where(np.isinf(upper), 1.0, sig(upper)), np.where(np.isinf(lower), 0.0, sig(lower))
-        p = np.maximum(hi - lo, 1e-9)
-        g_hi, g_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g_w = np.bincount(col, ((g_hi - g_lo) / n)[at] * value, m)
-        g_theta = np.zeros(len(theta))
-        for k in range(len(theta)):
-            g_theta[k] = (-g_hi[y == k].sum() + g_lo[y == k + 1].sum()) / n
+        _, g_score, g_theta = likelihood(s, theta, y)
+        g_w = np.bincount(col, g_score[at] * value, m)
         g_first = g_theta.sum()
         g_gap = np.array([g_theta[k + 1 :].sum() * np.exp(gap[k]) for k in range(len(gap))])
         g = np.r_[g_w, g_first, g_gap]

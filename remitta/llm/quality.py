@@ -1,14 +1,15 @@
 """Quality: expected grade and tail probabilities from a cumulative-link ordinal regression on hashed text.
 
-Grades come from the ratings: 0 if quality is 0, 1 if quality is 1 but the text is rated toxic, 2 if quality is 1
-and it isn't. Features, hashed: the shapes of the tokens (letters as a or A, digits as 0, runs cut to two) and how
+Grades are of quality alone: 0 if it is rated 0; texts rated 1 are grade 2 if a model fitted on the other half of the
+ratings rates them above the median of their kind, else 1. Features, hashed: the shapes of the tokens (letters as a or A, digits as 0, runs cut to two) and how
 often a token repeats the one before it, each by the square root of its share of the tokens; and the words with
 their beginnings, each counted once. One weight vector serves both thresholds. A text is selected if
 P(grade >= `least`) is at least `confidence`.
 
 Defined cases: null and empty texts have no features and get the probabilities of the thresholds alone; null ratings
-and ratings without a document are not used, and without any usable rating nothing is selected; of several ratings of one document the lowest quality and the highest
-toxicity count. Other columns are not read.
+and ratings without a document are not used, and without any usable rating nothing is selected; of several ratings of
+one document the lowest counts, of several rows with a rated id one text is learned from. Repeated rows are rated alike,
+an empty table gives an empty result, a text of any length is read whole, other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import id_text, slices
-from remitta.llm.ordinal import SAMPLE_ROWS, CumulativeLink, Sparse, fit, sample
+from remitta.llm.common import id_text, one_text, slices
+from remitta.llm.ordinal import SAMPLE_ROWS, CumulativeLink, Sparse, fit, sample, split_grades
 from remitta.llm.toxicity import _WORD, Scorer, word_features
 
 GRADES = 3
@@ -60,25 +61,25 @@ class Shapes:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> CumulativeLink:
-    rated = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    grade = F.when(F.col("q") <= 0, 0).when(F.col("t") > 0, 1).otherwise(2)
-    chosen = F.broadcast(sample(rated.select("doc_id", grade.alias("grade")), "doc_id", sample_rows))
-    joined = id_text(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "text", "grade")
+    rated = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("grade"))
+    chosen = F.broadcast(sample(rated, "doc_id", sample_rows))
+    joined = one_text(id_text(docs, id_col, text_col).join(chosen, "doc_id"), ["doc_id", "grade"])
 
     def run(batches):
         shapes = Shapes()
         for batch in slices(batches):
             keys, values = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 f = shapes(text)
                 f.update((x, 1.0) for w in set(_WORD.findall(text.lower())) for x in word_features(w))
                 order = sorted(f)
                 keys.append(np.array(order, np.uint32).tobytes())
                 values.append(np.array([f[k] for k in order], np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "grade", "f", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "grade", "f", "v"])
 
     got = joined.mapInArrow(run, f"doc_id {dict(joined.dtypes)['doc_id']}, grade int, f binary, v binary").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
-    return fit(Sparse.joined(got["f"].to_pylist(), got["v"].to_pylist()), got["grade"].to_pylist(), GRADES)
+    x = Sparse.joined(got["f"].to_pylist(), got["v"].to_pylist())
+    return fit(x, split_grades(x, np.array(got["grade"].to_pylist(), np.int64) > 0, got["doc_id"].to_pylist()), GRADES)
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1, confidence: float = 0.5, model: CumulativeLink | None = None) -> DataFrame:

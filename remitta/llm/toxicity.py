@@ -8,7 +8,8 @@ clean ones 0. The three-grade model has one weight vector and two ordered thresh
 
 Defined cases: null and empty texts have no features, and get the severity of the thresholds alone. A label that is
 null, or whose document is missing, is not used; without usable labels nothing is rejected. Several labels of one
-document count by the highest.
+document count by the highest; of several rows with a labelled id one text is learned from. Repeated rows are rated
+alike, an empty table gives an empty result, a text of any length is read whole, other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import id_text, slices
-from remitta.llm.ordinal import SAMPLE_ROWS, CumulativeLink, Sparse, fit, sample
+from remitta.llm.common import id_text, one_text, slices
+from remitta.llm.ordinal import SAMPLE_ROWS, CumulativeLink, Sparse, fit, sample, split_grades
 
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -41,22 +42,16 @@ def features(text: str) -> dict[int, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> CumulativeLink:
     rated = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("grade"))
     chosen = F.broadcast(sample(rated, "doc_id", sample_rows))
-    joined = id_text(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "text", "grade")
+    joined = one_text(id_text(docs, id_col, text_col).join(chosen, "doc_id"), ["doc_id", "grade"])
 
     def run(batches):
         for batch in slices(batches):
-            packed = [np.sort(np.fromiter(features(t), np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "grade", "f"])
+            packed = [np.sort(np.fromiter(features(t), np.uint32)).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "grade", "f"])
 
     got = joined.mapInArrow(run, f"doc_id {dict(joined.dtypes)['doc_id']}, grade int, f binary").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
     x, toxic = Sparse.joined(got["f"].to_pylist()), np.array(got["grade"].to_pylist(), np.int64) > 0
-    half = np.array([crc32(str(i).encode()) % 2 for i in got["doc_id"].to_pylist()], np.int64)
-    del got
-    rating = np.zeros(len(x))
-    for h in (0, 1):
-        rating[half == h] = fit(x.take(half != h), toxic[half != h], 2).score_rows(x.take(half == h))
-    middle = np.median(rating[toxic]) if toxic.any() else 0.0
-    return fit(x, toxic.astype(int) + (toxic & (rating > middle)), GRADES)
+    return fit(x, split_grades(x, toxic, got["doc_id"].to_pylist()), GRADES)
 
 
 class Scorer:

@@ -11,7 +11,7 @@ task holds. One block, the usual case, takes one scan without a shuffle. For mor
 each; the later scans give only documents with matches, and these are merged by id and hash of the text.
 
 Defined cases: null and empty texts have no words; items without words match nothing; items that repeat an id count
-once; an empty benchmark leaves all documents clean. Other columns are not read.
+once; the windows of an item without an id count as hits, but name no item; an empty benchmark leaves all documents clean. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def word_hashes(tokens: list[bytes]) -> np.ndarray:
 class ItemIndex:
     """Windows and fingerprints of a block of items."""
 
-    def __init__(self, items: list[tuple[str, bytes]]):
+    def __init__(self, items: list[tuple[str | None, bytes]]):
         self.windows: dict[bytes, list[str]] = {}
         fingerprints, short = [], {}
         for item, text in items:
@@ -82,7 +82,7 @@ class ItemIndex:
             size = min(len(w), WINDOW)
             for s in range(len(w) - size + 1):
                 of = self.windows.setdefault(b" ".join(w[s : s + size]), [])
-                if item not in of[-1:]:
+                if item is not None and item not in of[-1:]:
                     of.append(item)
             h = word_hashes(w)
             if len(w) >= WINDOW:
@@ -103,11 +103,11 @@ class ItemIndex:
             if len(at):
                 starts = np.unique((at[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
                 for s in starts[(starts >= 0) & (starts + WINDOW <= len(tokens))].tolist():
-                    if of := self.windows.get(b" ".join(tokens[s : s + WINDOW])):
+                    if (of := self.windows.get(b" ".join(tokens[s : s + WINDOW]))) is not None:
                         found.append((s, WINDOW, of))
         for k, known in self.short.items():
             for s in np.flatnonzero(_in(grams(h, k), known)).tolist():
-                if of := self.windows.get(b" ".join(tokens[s : s + k])):
+                if (of := self.windows.get(b" ".join(tokens[s : s + k]))) is not None:
                     found.append((s, k, of))
         return found
 
@@ -170,13 +170,13 @@ def _columns(out: list[tuple], names: list[str], kinds: list[pa.DataType], first
     return pa.RecordBatch.from_arrays([*first, *(pa.array(list(c), k) for c, k in zip(cols, kinds))], names)
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items, a bounded block at a time."""
     block, size = [], 0
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     for r in rows.toLocalIterator():
         text = r.t.encode()
-        block.append((r.i if r.i is not None else "", text))
+        block.append((r.i, text))
         size += len(words(text))
         if size >= block_words:
             yield block

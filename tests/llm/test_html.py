@@ -69,6 +69,28 @@ def test_rows(spark, model):
     assert T.main_text(spark, df).count() == len(rows)
 
 
+def test_tables_of_an_article_and_what_stands_for_scripts(model):
+    table = "<table><tr><th>Year</th><th>Crop of wheat</th></tr><tr><td>2001</td><td>17 tons</td></tr><tr><td>2002</td><td>21 tons</td></tr></table><noscript><p>Please turn on scripts to read this page.</p></noscript>"
+    text, _ = model.extract(PAGE.replace("<!-- a comment -->", table))
+    assert "Year\nCrop of wheat\n2001\n17 tons\n2002\n21 tons\nitem one" in text and "scripts" not in text
+
+
+def test_trees_are_built_in_linear_time():
+    import time
+
+    def took(n: int, make) -> float:
+        source, best = make(n), 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            T.Page(source)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    for make in (lambda n: "<div>" * n + "</b>" * n, lambda n: "<div>" * n + "<li>x" * n, lambda n: "<p>" + "<b>" * n + "<div>" * n + "<p>x</p>" * n, lambda n: "<div><p>" * n + "</p>" * n):
+        assert took(16_000, make) < 3.2 * took(8000, make) + 0.05
+    assert T.Page("<p>a<b>b<div>c").parent == [-1, 0, 1, 0] and T.Page("<ul><li>a<ul><li>b<li>c</ul><li>d").parent == [-1, 0, 1, 2, 3, 3, 1]
+
+
 def test_formulas_drawings_and_objects_are_text(model):
     inside = '<p>Energy is <math><mi>E</mi><mo>=</mo><msup><mi>mc</mi><mn>2</mn></msup></math> as everybody knows by now.</p><svg><style>x{}</style><text>A label of the drawing</text></svg><object data="x"><p>What the object says to readers, at length.</p></object>'
     page = T.Page(f"<body><article>{inside}</article></body>")
