@@ -83,6 +83,18 @@ def one_text(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return rows.groupBy(*keys).agg(first.alias("first")).select(*keys, F.col("first.t").alias(text))
 
 
+#: A key with more than one in so many rows is joined apart; there are at most so many of them.
+HOT_KEYS = 10_000
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table that has each key once. Keys with many rows are few, so what they match goes to every executor, and no task gets all rows of one."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = F.broadcast(saved(sizes.filter(F.col("__n") > max(1000, rows.count() // HOT_KEYS)).select(key), "hot-keys"))
+    at_once = rows.join(F.broadcast(unique.join(hot, key, "left_semi")), key)
+    return at_once.unionByName(rows.join(hot, key, "left_anti").join(unique, key))
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose id is not in `ids` (one column, named as id_col). A null id matches a null id.
 

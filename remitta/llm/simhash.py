@@ -14,7 +14,8 @@ which both agree. Components come from alternating large-star and small-star rou
 
 Defined cases: texts without words (null, empty) have fingerprint zero and link like any other; fewer than three
 words are one shingle; repeated rows have equal fingerprints and so one component. A null id has no say in
-component_id. An empty table gives an empty result. Other columns are not read.
+component_id. An empty table gives an empty result. Other columns are not read. Fingerprints and nodes with very many
+rows are joined apart, so that no task gets all rows of one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import UPPER, binary_texts, id_text, saved, slices
+from remitta.llm.common import UPPER, binary_texts, id_text, saved, slices, spread_join
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Expected rows of a bucket above which the key takes more bits.
@@ -299,10 +300,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of u is tied to the least of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(spread_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: the smaller neighbours of u, and u, are tied to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
+        small = spread_join(large, low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
         after = saved(small, "links")
         same = after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty()
         now = after
@@ -320,4 +321,4 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     tied = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     of = tied.join(ids, "root").select(F.col("fp"), "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return spread_join(prints, of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -6,9 +6,10 @@ more words that a document shares with an item always shares a fingerprint. Fing
 joined with those of the items; each match is extended to the item windows around it, compared word for word. Items
 of fewer than ten words are matched as one window of their own length.
 
-The items go to the tasks in blocks of at most about `block_words` words, which bounds what is broadcast and what a
-task holds. One block, the usual case, takes one scan without a shuffle. For more, the documents are scanned once for
-each; the later scans give only documents with matches, and these are merged by id and hash of the text.
+Items of at most about `block_words` words together, the usual case, go to every task: one scan, without a shuffle.
+Beyond that nothing of the items but a bitmap of their fingerprints (2 ** BITS bits, whatever their number) goes to
+the tasks: the windows around the fingerprints that it holds are joined with the items' windows by their words, and
+the matches of a document are put together by the number of its row. Windows that many documents share are joined apart.
 
 Defined cases: null and empty texts have no words; items without words match nothing; items that repeat an id count
 once; the windows of an item without an id count as hits, but name no item; an empty benchmark leaves all documents clean. Other columns are not read.
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import binary_texts, id_text, release, saved
+from remitta.llm.common import binary_texts, id_text, release, saved, spread_join
 
 WINDOW, GRAM = 10, 5
 BLOCK_WORDS = 300_000
+#: Bits of the bitmap of fingerprints: 16 MB.
+BITS = 27
 #: Bytes that belong to words stay, A-Z become a-z, others become blanks.
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(WINDOW)], np.uint64)
@@ -159,10 +162,10 @@ def _chunks(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[int,
         yield begin, texts
 
 
-_RAW = "doc_id {0}, text_hash bigint, n_words bigint, spans array<struct<s:int,e:int>>, items array<string>"
 _OUT = "doc_id {0}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<s:int,e:int>>"
 _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _STRINGS = pa.list_(pa.string())
+_WINDOWS = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("win", pa.string())]))
 
 
 def _columns(out: list[tuple], names: list[str], kinds: list[pa.DataType], first: list[pa.Array]) -> pa.RecordBatch:
@@ -170,59 +173,110 @@ def _columns(out: list[tuple], names: list[str], kinds: list[pa.DataType], first
     return pa.RecordBatch.from_arrays([*first, *(pa.array(list(c), k) for c, k in zip(cols, kinds))], names)
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items, a bounded block at a time."""
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def one_block(items: DataFrame, block_words: int) -> list[tuple[str | None, bytes]] | None:
+    """All items, if they have about so many words together; no more than these are read."""
     block, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    for r in rows.toLocalIterator():
-        text = r.t.encode()
-        block.append((r.i, text))
-        size += len(words(text))
+    for r in items.toLocalIterator():
         if size >= block_words:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+            return None
+        block.append((r.item, text := r.text.encode()))
+        size += len(words(text))
+    return block
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (of word positions); one row per row of docs."""
     rows = id_text(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
-    first, second = next(blocks, []), next(blocks, None)
-    hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    if second is None:
-        return hashed.mapInArrow(_matcher(spark.sparkContext.broadcast(first), True, True), _OUT.format(kind))
-    scan_of = lambda block, every: hashed.mapInArrow(_matcher(spark.sparkContext.broadcast(block), every), _RAW.format(kind))
-    found = scan_of(first, True)
-    found = saved(found, "winnowing-first")
-    parts = found.select("doc_id", "text_hash", "spans", "items").filter(F.size("spans") > 0)
-    while second is not None:
-        parts = parts.unionByName(saved(scan_of(second, False), "winnowing-hits").select("doc_id", "text_hash", "spans", "items"))
-        second = next(blocks, None)
-    # rows that repeat an id and a text have the same matches, so merging them changes nothing
-    merged = parts.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("m_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("m_items"))
-    merged = merged.withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
-    joined = found.join(merged, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
-    found = joined.select("doc_id", "text_hash", "n_words", F.coalesce("m_spans", "spans").alias("spans"), F.coalesce("m_items", "items").alias("items"))
+    items = _items(benchmark, item_col, item_text_col)
+    block = one_block(items, block_words)
+    if block is not None:
+        return rows.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), _OUT.format(kind))
+    known = saved(items.mapInArrow(_item_windows, "win string, item string, fp bigint, k int"), "winnowing-items")
+    prints = known.filter("fp is not null")
+    sizes = [r.k for r in prints.select("k").distinct().collect()]
+    bits = spark.sparkContext.broadcast(_bitmap(prints.select("fp")))
+    scanned = saved(rows.mapInArrow(_candidates(bits, sizes), f"doc_id {kind}, n_words bigint, found array<struct<s:int,k:int,win:string>>").withColumn("row", F.monotonically_increasing_id()), "winnowing-scan")
+    windows = known.filter("win is not null").groupBy("win").agg(F.collect_set("item").alias("of"))
+    hits = spread_join(scanned.select("row", F.inline("found")), windows, "win")
+    merged = hits.groupBy("row").agg(F.collect_set(F.struct("s", (F.col("s") + F.col("k")).alias("e"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("of"))).alias("items"))
+    none = lambda c: F.coalesce(c, F.array().cast(dict(merged.dtypes)[c]))
+    found = scanned.drop("found").join(merged, "row", "left").select("doc_id", "n_words", none("spans").alias("spans"), none("items").alias("items"))
     return found.mapInArrow(_summed, _OUT.format(kind))
 
 
-def _matcher(shared, every: bool, summed: bool = False):
-    """Matches of one block of items; every: also documents without any; summed: the block is the only one."""
+def _item_windows(batches):
+    """The windows of each item, and its fingerprints; k: the words of what is hashed."""
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), binary_texts(batch)):
+            w = words(text)
+            if not w:
+                continue
+            size, h = min(len(w), WINDOW), word_hashes(w)
+            wins = list({b" ".join(w[s : s + size]) for s in range(len(w) - size + 1)})
+            fps = np.unique(g[winnow(g)] if len(w) >= WINDOW and len(g := grams(h, GRAM)) else grams(h, len(w))).view(np.int64)
+            n, m = len(wins), len(fps)
+            k = GRAM if len(w) >= WINDOW else -len(w)  # short items are matched whole
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*wins, *[None] * m], pa.binary()).cast(pa.string()), pa.array([item] * (n + m), pa.string()), pa.array([*[None] * n, *fps.tolist()], pa.int64()), pa.array([k] * (n + m), pa.int32())], ["win", "item", "fp", "k"]
+            )
+
+
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """One bit for the last BITS bits of every fingerprint."""
+    at = F.col("fp").bitwiseAND(F.lit((1 << BITS) - 1))
+    maps = prints.groupBy(F.shiftright(at, 15).alias("b")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("m"))
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in maps.collect():
+        out[r.b * 4096 : r.b * 4096 + len(r.m)] = np.frombuffer(r.m, np.uint8)
+    return out
+
+
+def _marked(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    at = (prints & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def _candidates(shared, sizes: list[int]):
+    """Words of each document, and its windows that may be in an item."""
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            for begin, texts in _chunks(batch):
+                n_words, found = [], []
+                for text in texts:
+                    w = words(text)
+                    h, wins = word_hashes(w), []
+                    if GRAM in sizes:
+                        g = grams(h, GRAM)
+                        at = winnow(g)
+                        at = at[_marked(bits, g[at])]
+                        starts = np.unique((at[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
+                        wins += [(s, WINDOW) for s in starts[(starts >= 0) & (starts + WINDOW <= len(w))].tolist()]
+                    for k in (-k for k in sizes if k < 0):
+                        wins += [(s, k) for s in np.flatnonzero(_marked(bits, grams(h, k))).tolist()]
+                    n_words.append(len(w))
+                    found.append([{"s": s, "k": k, "win": b" ".join(w[s : s + k]).decode()} for s, k in wins])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(n_words, pa.int64()), pa.array(found, _WINDOWS)], ["doc_id", "n_words", "found"])
+        release()
+
+    return run
+
+
+def _matcher(shared):
+    """Matches with the items that are known to every task."""
 
     def run(batches):
         index = ItemIndex(shared.value)
         for batch in batches:
             for begin, texts in _chunks(batch):
-                part = batch.slice(begin, len(texts))
-                found = scan(texts, index)
-                keep = list(range(len(texts))) if every else [i for i, (_, spans, _) in enumerate(found) if spans]
-                chosen = [(found[i][0], [{"s": s, "e": e} for s, e in sorted(set(found[i][1]))], sorted(found[i][2])) for i in keep]
-                at = pa.array(keep, pa.int64())
-                rows = _columns(chosen, ["doc_id", "text_hash", "n_words", "spans", "items"], [pa.int64(), _SPANS, _STRINGS], [part.column(0).take(at), part.column(2).take(at)])
-                yield from _summed([rows]) if summed else [rows]
+                chosen = [(n, [{"s": s, "e": e} for s, e in sorted(set(spans))], sorted(items)) for n, spans, items in scan(texts, index)]
+                yield from _summed([_columns(chosen, ["doc_id", "n_words", "spans", "items"], [pa.int64(), _SPANS, _STRINGS], [batch.column(0).slice(begin, len(texts))])])
         del index
         release()
 
@@ -232,8 +286,8 @@ def _matcher(shared, every: bool, summed: bool = False):
 def _summed(batches):
     for batch in batches:
         out = []
-        for spans, items in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+        for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             spans, items = sorted((x["s"], x["e"]) for x in spans), sorted(items)
             n_hit = covered(spans)
             out.append((n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0, items, [{"s": s, "e": e} for s, e in spans]))
-        yield _columns(out, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"], [pa.int64(), pa.int64(), pa.string(), pa.bool_(), _STRINGS, _SPANS], [batch.column(0), batch.column(2)])
+        yield _columns(out, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"], [pa.int64(), pa.int64(), pa.string(), pa.bool_(), _STRINGS, _SPANS], [batch.column(0), batch.column(1)])
