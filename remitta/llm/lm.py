@@ -7,14 +7,15 @@ of a text, none of which is frequent, are joined with the counts.
 
 Model. The VOCABULARY most frequent tokens (ties by word) make CLASSES classes of GROUPS groups of GROUP_SIZE words, by
 rank; one more class holds all other words. P(token) = P(class | history) P(group | class, history) P(token | group,
-history), each a softmax over hashed features of the history (the last word, the last two, the word before the last,
-the third last) added to log-priors from the counts. Words of the last class share its probability in proportion to
-their base probability, so the model is normalised. Training is stochastic gradient descent in every shard of the training documents, starting from the common weights; the weights'
-changes are averaged by tokens in steps of at most FAN messages and added, ROUNDS times, each on its share of the
-documents; all training documents take part. Scoring works on batches of sparse rows in numpy.
+history), each a softmax over hashed features of the history (the last word, the last two, the word before the last)
+added to log-priors from the counts. Words of the last class share its probability in proportion to their base
+probability, so the model is normalised. Training is stochastic gradient descent in every shard of the training
+documents, starting from the common weights; the weights' changes are averaged by tokens in steps of at most FAN
+messages and added, ROUNDS times, each on its share of the documents; all training documents take part. Scoring works on batches of sparse rows in numpy.
 
 The score depends on the rows of the table alone, not on how they are partitioned: shards are made by a hash of id and
-text, are as many as the training tokens ask for, and are read in the order of that hash; sums go by shard number.
+text, are as many as the training tokens ask for, and are learned in the order of that hash; sums go by shard number.
+(Only rows that repeat both id and text are bound to meet in one shard.)
 
 Defined cases: null and empty texts have one token, the end. A row with a null id takes part in the training. With no
 training tokens every token is the one unknown token, and the score equals the base. Repeated rows are scored alike.
@@ -30,7 +31,6 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +108,7 @@ class Common:
 
     def _derive(self):
         self.base = np.log10((self.counts + 0.5) / self.total())
+        self.ids = np.fromiter(map(crc32, [*self.index, b""]), np.uint64, len(self.index) + 1)  # the last is looked up for other words, and replaced
         n = min(VOCABULARY, len(self.index))
         p = np.zeros(VOCABULARY)
         p[:n] = 10.0 ** self.base[:n]
@@ -158,19 +159,21 @@ class Batch:
             tokens.append(END.encode())
         self.tokens = tokens
         self.index = np.fromiter(map(known.index.__getitem__, tokens), np.int64, len(tokens))
-        ids = np.fromiter(map(crc32, tokens), np.uint64, len(tokens))
+        ids = known.ids[self.index]
+        for i in np.flatnonzero(self.index < 0).tolist():
+            ids[i] = crc32(tokens[i])
         self.sizes = np.diff(np.r_[self.starts, len(tokens)])
         place = np.arange(len(tokens)) - np.repeat(self.starts, self.sizes)
         back = []
-        for k in (1, 2, 3):
+        for k in (1, 2):
             b = np.full(len(tokens), _START, np.uint64)
             ok = place >= k
             b[ok] = ids[np.flatnonzero(ok) - k]
             back.append(b)
-        b1, b2, b3 = back
+        b1, b2 = back
         m = np.uint64(0x9E3779B97F4A7C15)
         mix = lambda x, salt: (x + np.uint64(salt)) * m
-        self.features = [mix(b1, 1), mix(mix(b1, 2) ^ b2, 3), mix(b2, 5), mix(b3, 7)]
+        self.features = [mix(b1, 1), mix(mix(b1, 2) ^ b2, 3), mix(b2, 5)]
         vocabulary = (self.index >= 0) & (self.index < VOCABULARY)
         self.classes = np.where(vocabulary, self.index // (GROUPS * GROUP_SIZE), CLASSES)
         self.groups = np.where(vocabulary, self.index // GROUP_SIZE, 0)  # numbered through all classes
@@ -196,15 +199,20 @@ class Weights:
         return [self.classes, self.groups, self.words]
 
 
-def _softmax(table: np.ndarray, at: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
-    """Rows that sum to one. The logits are log-priors plus small weights; the bound only keeps exp() finite."""
+def _logits(table: np.ndarray, at: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    """Log-priors plus small weights; the bound only keeps exp() finite."""
     z = np.take(table, at[0], axis=0, mode="clip")
     more = np.empty_like(z)
     for a in at[1:]:
         np.take(table, a, axis=0, out=more, mode="clip")
         z += more
     z += prior
-    np.minimum(z, 60, out=z)
+    return np.minimum(z, 60, out=z)
+
+
+def _softmax(table: np.ndarray, at: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    """Rows that sum to one."""
+    z = _logits(table, at, prior)
     np.exp(z, out=z)
     z *= (1 / (np.einsum("ij->i", z) + np.float32(1e-30)))[:, None]
     return z
@@ -259,8 +267,10 @@ def log10_p(w: Weights, known: Common, batch: Batch) -> np.ndarray:
         cut = slice(i, i + CHUNK)
         part = np.zeros(len(batch.index[cut]))
         for which, table, at, prior, came in _levels(w, known, batch, cut):
-            p = _softmax(table, at, prior)
-            part[which] += np.log10(np.maximum(p[np.arange(len(came)), came], 1e-30), dtype=np.float64)
+            z = _logits(table, at, prior)
+            chosen = z[np.arange(len(came)), came].astype(np.float64)
+            np.exp(z, out=z)
+            part[which] += np.maximum((chosen - np.log(np.einsum("ij->i", z) + np.float32(1e-30))) / math.log(10), -30)
         part[batch.classes[cut] == CLASSES] -= known.log_rest
         out[cut] = part
     return out
@@ -283,24 +293,23 @@ def train(spark: SparkSession, docs: DataFrame, counts, id_col: str = "doc_id",
     w = Weights.zero()
     rows = _training(id_text(docs, id_col, text_col)).select(F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text")
     shards = max(1, counts.value.tokens // SHARD_TOKENS)
+    rows = rows.withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(shards)).cast("int"))
     for r in range(rounds):
         now = spark.sparkContext.broadcast(w)
-        share = rows.filter(F.pmod("h", F.lit(rounds)) == r).repartition(shards, "h").sortWithinPartitions("h", "text")
+        share = rows.filter(F.pmod("h", F.lit(rounds)) == r).repartitionById(shards, "shard")
 
-        def run(batches):
+        def run(shard: pa.Table) -> pa.Table:
             own, tokens = Weights(*(t.copy() for t in now.value.tables())), 0
-            for batch in batches:
+            for batch in shard.sort_by([("h", "ascending"), ("text", "ascending")]).to_batches():
                 for _, texts in _texts(batch):
                     b = Batch(texts, counts.value)
                     learn(own, counts.value, b)
                     tokens += len(b.index)
-            if tokens:
-                parts = [x for new, old in zip(own.tables(), now.value.tables()) for x in _split(new - old)]
-                yield _message(np.arange(len(parts)), TaskContext.get().partitionId(), parts, tokens)
-            del own
+            parts = [x for new, old in zip(own.tables(), now.value.tables()) for x in _split(new - old)]
             release()
+            return pa.Table.from_batches([_message(np.arange(len(parts)), shard.column("shard")[0].as_py(), parts, tokens)])
 
-        changes, units = share.mapInArrow(run, _MESSAGE), shards
+        changes, units = share.groupBy("shard").applyInArrow(run, _MESSAGE), shards
         while units > 1:
             units = -(-units // FAN)
             changes = changes.withColumn("into", F.col("unit") % units).groupBy("part", "into").applyInArrow(_averaged, _MESSAGE)
