@@ -30,8 +30,8 @@ from remitta.llm.common import scratch
 
 #: Deleted before texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
-#: Bits of the bitmap that picks what is compared: 16 MB at most.
-BITS = 27
+#: Bits of the bitmap that picks what is compared: 2 MB at most.
+BITS = 24
 #: A group with more than one in so many rows is joined apart; there are at most so many of them.
 HOT_GROUPS = 10_000
 #: Arrivals for each state store; a stream with less than a quarter of the stores it needs begins anew.
