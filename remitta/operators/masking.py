@@ -12,7 +12,6 @@ import datetime
 from remitta.errors import MaskError
 from remitta.functions.values import date_element, parse_dt, shift_days, token
 from remitta.operators.checks import Finding
-from remitta.operators.lexer import Segment
 from remitta.plans.spec import Spec, Table
 
 DATE_MODES = ("year", "shift", "keep")
@@ -63,10 +62,11 @@ class Places:
                     for p in spots:
                         self.kinds.setdefault((c.segment, p, c.component), c.phi)
 
-    def hide(self, f: Finding, s: Segment | None) -> Finding:
-        if s is None or f.element is None or not f.datum:
+    def hide(self, f: Finding, segment: bytes | None) -> Finding:
+        """segment: the id of the finding's segment."""
+        if segment is None or f.element is None or not f.datum:
             return f
-        kind = self.kinds.get((s.id, f.element, f.component)) or (self.kinds.get((s.id, f.element, None)) if f.component is None else None)
+        kind = self.kinds.get((segment, f.element, f.component)) or (self.kinds.get((segment, f.element, None)) if f.component is None else None)
         if kind is None or kind == "date" and self.mask.dates == "keep":
             return f
         if kind == "date":

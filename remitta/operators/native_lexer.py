@@ -19,7 +19,7 @@ def _literal(c: Column) -> Column:
 def delimiters_of(contents: DataFrame) -> DataFrame:
     """filename, text, element, component, segment, repetition; the last four are null if the text is no interchange."""
     text = F.decode("content", "ISO-8859-1")
-    head = F.substring(F.regexp_replace(text, "^(ï»¿)?" + _TRIVIA, ""), 1, 4096)
+    head = F.regexp_replace(text, "^(ï»¿)?" + _TRIVIA, "")
     element = F.when(F.substring(head, 1, 3) == "ISA", F.substring(head, 4, 1))
     parts = F.split(head, _literal(element), 17)
     ok = (F.size(parts) == 17) & (F.length(F.get(parts, F.lit(16))) >= 2)

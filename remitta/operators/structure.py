@@ -6,9 +6,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from remitta.operators.engine import Run
-from remitta.operators.lexer import NotAnInterchange, delimiters
+from remitta.operators.lexer import NotAnInterchange, delimiters, segments
+
+_OPENED = pa.struct([("loop", pa.string()), ("implicit", pa.bool_()), ("ordinal", pa.int64())])
+#: Columns of segments: Spark type, Arrow type, and what a segment, its file, run and events give.
+_SEGMENT = {
+    "filename": ("string", pa.string(), lambda x: x.name),
+    "segment": ("bigint", pa.int64(), lambda x: x.s.index),
+    "id": ("string", pa.string(), lambda x: x.s.id.decode("latin-1")),
+    "raw": ("binary", pa.binary(), lambda x: x.data[x.s.start : x.s.stop]),
+    "elements": ("array<array<binary>>", pa.list_(pa.list_(pa.binary())), lambda x: [x.s.parts(i) for i in range(1, len(x.s.pieces))]),
+    "raw_start": ("bigint", pa.int64(), lambda x: x.s.start),
+    "body_start": ("bigint", pa.int64(), lambda x: x.s.body),
+    "body_end": ("bigint", pa.int64(), lambda x: x.s.end),
+    "raw_end": ("bigint", pa.int64(), lambda x: x.s.stop),
+    "terminated": ("boolean", pa.bool_(), lambda x: x.s.terminated),
+    "empty": ("boolean", pa.bool_(), lambda x: x.s.empty),
+    "unmatched": ("boolean", pa.bool_(), lambda x: any(e.kind == "unmatched" for e in x.events)),
+    "loop": ("string", pa.string(), lambda x: x.loops[x.cap.loop].name if x.cap else None),
+    "node": ("bigint", pa.int64(), lambda x: x.cap.instance if x.cap else next((e.instance for e in x.events if e.kind == "unmatched"), x.run.stack[-1][1] if x.run.stack else None)),
+    "path": ("string", pa.string(), lambda x: x.run.path()),
+    "occurrence": ("string", pa.string(), lambda x: x.loops[x.cap.loop].occurrences[x.cap.occurrence].name if x.cap and x.cap.occurrence is not None else None),
+    "opens": ("array<struct<loop:string,implicit:boolean,ordinal:bigint>>", pa.list_(_OPENED), lambda x: [{"loop": x.loops[e.loop].name, "implicit": e.kind == "open!", "ordinal": e.ordinal} for e in x.events if e.kind in ("open", "open!")]),
+    "closes": ("array<string>", pa.list_(pa.string()), lambda x: [x.loops[e.loop].name for e in x.events if e.kind == "close"]),
+}
+#: Columns that need no loops.
+_PLAIN = frozenset("filename segment id raw elements raw_start body_start body_end raw_end terminated empty".split())
+
+
+class _Step:
+    """A segment with what is known of it."""
+
+    __slots__ = ("name", "data", "run", "loops", "s", "events", "cap")
 
-_SEGMENTS = "filename string, segment bigint, id string, raw binary, elements array<array<binary>>, raw_start bigint, body_start bigint, body_end bigint, raw_end bigint, terminated boolean, empty boolean, unmatched boolean, loop string, node bigint, path string, occurrence string, opens array<struct<loop:string,implicit:boolean,ordinal:bigint>>, closes array<string>"
 _NODES = "filename string, node bigint, parent bigint, loop string, ordinal bigint, implicit boolean, opened_by bigint, segments array<bigint>, unmatched array<bigint>"
 
 
@@ -25,29 +55,27 @@ def _runs(batches, o):
             yield name, data, Run(data, o.spec_of(data, d), d, events=True)
 
 
-def segments_of(contents: DataFrame, o) -> DataFrame:
-    """One row per segment: spans that join to the file, elements, and what it did to the loops."""
+def segments_of(contents: DataFrame, o, *columns: str) -> DataFrame:
+    """One row per segment: spans that join to the file, elements, and what it did to the loops; columns: those that are wanted."""
+    names = list(columns or _SEGMENT)
+    kinds, makers = [_SEGMENT[n][1] for n in names], [_SEGMENT[n][2] for n in names]
+    plain = _PLAIN.issuperset(names)
 
     def run(batches):
-        names = [x.split()[0] for x in _SEGMENTS.replace("loop:string,implicit:boolean,ordinal:bigint", "x").split(", ")]
-        opened = pa.struct([("loop", pa.string()), ("implicit", pa.bool_()), ("ordinal", pa.int64())])
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.binary())), *[pa.int64()] * 4, *[pa.bool_()] * 3, pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(opened), pa.list_(pa.string())]
-        for name, data, r in _runs(batches, o):
-            loops, rows = r.spec.loops, []
-            for s in r.steps():
-                ev, r.events = r.events, []
-                cap = next((e for e in ev if e.kind == "cap"), None)
-                place = loops[cap.loop].occurrences[cap.occurrence].name if cap and cap.occurrence is not None else None
-                opens = [{"loop": loops[e.loop].name, "implicit": e.kind == "open!", "ordinal": e.ordinal} for e in ev if e.kind in ("open", "open!")]
-                node = cap.instance if cap else next((e.instance for e in ev if e.kind == "unmatched"), r.stack[-1][1] if r.stack else None)
-                rows.append((name, s.index, s.id.decode("latin-1"), data[s.start : s.stop], [s.parts(i) for i in range(1, len(s.pieces))], s.start, s.body, s.end, s.stop, s.terminated, s.empty, any(e.kind == "unmatched" for e in ev), loops[cap.loop].name if cap else None, node, r.path(), place, opens, [loops[e.loop].name for e in ev if e.kind == "close"]))
+        x = _Step()
+        for x.name, x.data, x.run in _runs(batches, o):
+            x.loops, rows = x.run.spec.loops, []
+            for x.s in segments(x.data, x.run.delimiters) if plain else x.run.steps():
+                x.events, x.run.events = x.run.events, []
+                x.cap = next((e for e in x.events if e.kind == "cap"), None)
+                rows.append([f(x) for f in makers])
                 if len(rows) >= 4096:
                     yield _batch(rows, names, kinds)
                     rows = []
             if rows:
                 yield _batch(rows, names, kinds)
 
-    return contents.select("filename", "content").mapInArrow(run, _SEGMENTS)
+    return contents.select("filename", "content").mapInArrow(run, ", ".join(f"{n} {_SEGMENT[n][0]}" for n in names))
 
 
 def _batch(rows, names, kinds) -> pa.RecordBatch:
@@ -78,4 +106,4 @@ def nodes_of(contents: DataFrame, o) -> DataFrame:
 
 def loop_paths(contents: DataFrame, wanted: DataFrame, o) -> DataFrame:
     """filename, segment, path of the segments that `wanted` (filename, segment) names."""
-    return segments_of(contents, o).select("filename", "segment", "path").join(wanted.select("filename", "segment").distinct(), ["filename", "segment"], "left_semi")
+    return segments_of(contents, o, "filename", "segment", "path").join(wanted.select("filename", "segment").distinct(), ["filename", "segment"], "left_semi")

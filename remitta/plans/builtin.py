@@ -302,35 +302,44 @@ def patch_4010() -> dict:
         "version": {"values": ["004010X091A1", "004010X091", "004010"]},
         "loops": {
             "1000A": {"occurrences": {**gone(["payer_technical_contact_information", "payer_web_site"]), "payer_business_contact_information": {"qualifier": None, "codes": None}}},
-            "1000B": {"occurrences": {"remittance_delivery_method": None, "payee_identification": {"codes": {"3": ["FI", "XX"]}}}},
+            "1000B": {"occurrences": {"remittance_delivery_method": None, "payee_identification": {"codes": {"3": ["FI", "XX"]}}, "payee_additional_identification": {"codes": {"1": "0B 1A 1B 1C 1D 1E 1F 1G 1H D3 G2 N5 PQ TJ".split()}}}},
             "2100": {"occurrences": {
                 **gone(["other_subscriber_name", "statement_from_or_to_date", "coverage_expiration_date", "claim_received_date"]),
+                "insured_name": {"codes": {"8": ["34", "HN", "MI"]}},
                 "corrected_priority_payer_name": {"max": 2},
                 "other_claim_related_identification": {"qualifier": listed("1L 1W 9A 9C A6 BB CE EA F8 G1 G3 IG SY")},
                 "rendering_provider_identification": {"qualifier": listed("1A 1B 1C 1D 1G 1H D3 G2")},
                 "claim_date": {"segment": "DTM", "pos": 20500, "max": 4, "codes": {"1": ["036", "050", "232", "233"]}},
                 "claim_contact_information": {"codes": None, "max": 3},
-                "claim_supplemental_information": {"max": 14},
+                "claim_supplemental_information": {"max": 14, "codes": {"1": "AU D8 DY F5 I NL T T2 ZK ZL ZM ZN ZO ZZ".split()}},
                 "claim_supplemental_information_quantity": {"max": 15}}},
             "2110": {"occurrences": {
                 **gone(["line_item_control_number", "healthcare_policy_identification"]),
                 "service_date": {"max": 3},
                 "service_identification": {"max": 7, "qualifier": listed("1S 6R BB E9 G1 G3 LU RB")},
                 "rendering_provider_information": {"qualifier": listed("1A 1B 1C 1D 1G 1H 1J HPI SY TJ")},
-                "service_supplemental_amount": {"max": 12}}},
+                "service_supplemental_amount": {"max": 12, "codes": {"1": "B6 DY KH NE T T2 ZK ZL ZM ZN ZO".split()}},
+                "service_supplemental_quantity": {"codes": {"1": "NE ZK ZL ZM ZN ZO".split()}}}},
         },
         "segments": {
             "ISA": {"elements": {"11": {"type": "ID", "codes": ["U"]}, "12": {"codes": ["00401"]}}},
             "GS": {"elements": {"8": {"codes": ["004010X091A1", "004010X091", "004010"]}}},
             "ST": {"elements": {"3": None}},
+            "REF": {"elements": {"1": listed("0B 1A 1B 1C 1D 1E 1F 1G 1H 1J 1L 1S 1W 2U 6R 9A 9C A6 BB CE D3 E9 EA EO EV F2 F8 G1 G2 G3 HI HPI IG LU N5 NF PQ RB SY TJ")}},
             "N1": {"elements": {"2": {"required": False}}},
             "N4": {"elements": {"2": {"required": True}, "3": {"required": True}, "7": None}},
-            "PER": {"elements": {"1": {"codes": ["CX"]}}},
+            "PER": {"elements": {"1": {"codes": ["CX"]}, "3": listed("EM FX TE"), "5": listed("EM EX FX TE"), "7": {"codes": ["EX"]}}},
             "RDM": None,
-            "TS3": {"elements": {str(at): {"name": f"total_amount_{at}", "type": "R", "min": 1, "max": 18} for at in (6, 7, 8, 9, 10, 11, 12, 14, 16, 19)}},
-            "CLP": {"elements": {"2": {"codes": None}, "7": {"required": False}, "14": None}},
+            "TS3": {"elements": {
+                "6": element("total_covered_charge_amount R 1-18"), "7": element("total_noncovered_charge_amount R 1-18"), "8": element("total_denied_charge_amount R 1-18"), "9": element("total_provider_payment_amount R 1-18"),
+                "10": element("total_interest_amount R 1-18"), "11": element("total_contractual_adjustment_amount R 1-18"), "12": element("total_gramm_rudman_reduction_amount R 1-18"), "14": element("total_blood_deductible_amount R 1-18"),
+                "16": element("total_coinsurance_amount R 1-18"), "19": element("total_deductible_amount R 1-18")}},
+            "CLP": {"elements": {"2": {"codes": None}, "6": listed("12 13 14 15 16 AM CH DS HM LM MA MB MC OF TV VA WC ZZ"), "7": {"required": False}, "9": listed("0 1 2 3 4 5 6 7 8 9 A B C D E F G H I J K L M N O X Y Z"), "14": None}},
             "CAS": {"elements": {"1": {"codes": ["CO", "CR", "OA", "PI", "PR"]}}},
-            "SVC": {"elements": {at: {"composite": {"8": None}} for at in ("1", "6")}},
+            "NM1": {"elements": {"1": listed("74 82 IL PR QC TT")}},
+            "AMT": {"elements": {"1": listed("AU B6 D8 DY F5 I KH NE NL T T2 ZK ZL ZM ZN ZO ZZ")}},
+            "QTY": {"elements": {"1": listed("CA CD LA LE NA NE NR OU PS VS ZK ZL ZM ZN ZO")}},
+            "SVC": {"elements": {at: {"composite": {"1": listed("AD ER HC ID IV N4 NU RB ZZ"), "8": None}} for at in ("1", "6")}},
         },
     }
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,8 @@ from remitta.operators.engine import Run, spec_for
 from remitta.operators.lexer import Delimiters, NotAnInterchange, delimiters
 from remitta.operators.masking import Mask, Places
 from remitta.plans.builtin import VERSIONS, builtin
-from remitta.plans.spec import Spec, Table
+from remitta.plans.spec import Spec
+from remitta.sources.shared import scratch
 
 DIAGNOSTICS = "diagnostics"
 _FINDING = [("level", "int", 0), ("kind", "text", 0), ("rule", "text", 0), ("segment", "int", 0), ("element", "int", 0), ("component", "int", 0), ("path", "text", 0), ("datum", "binary", 0), ("origin", "text", 0), ("code", "text", 0)]
@@ -117,19 +121,25 @@ def files(spark: SparkSession, path) -> DataFrame:
 # Parsing
 
 
+#: Stands for a mask option that was not given. None is refused: a key that failed to load must not read patient data unmasked.
+NOT_GIVEN = object()
+
+
 class Options:
     """What a parsing task needs to know; checked on the driver."""
 
-    def __init__(self, table_name: str | None = None, version: str | None = None, binary: bool = False, ignore_errors: bool = False, mask_key=None, mask_dates: str | None = None, spec: Spec | None = None, delimiters: Delimiters | None = None, by: str | None = None, unpad: bool = False, wide: bool = False):
-        for name, value in (("binary", binary), ("ignore_errors", ignore_errors)):
+    def __init__(self, table_name: str | None = None, version: str | None = None, binary: bool = False, ignore_errors: bool = False, mask_key=NOT_GIVEN, mask_dates: str | None = NOT_GIVEN, spec: Spec | None = None, delimiters: Delimiters | None = None, by: str | None = None, unpad: bool = False, wide: bool = False):
+        for name, value in (("binary", binary), ("ignore_errors", ignore_errors), ("mask_key", mask_key), ("mask_dates", mask_dates)):
             if value is None:
                 raise ReadError(f"the option {name} is null")
         if version is not None and version not in VERSIONS:
             raise ReadError(f"unknown version {version!r}; the built-in ones are {', '.join(VERSIONS)}")
-        if mask_dates is not None and mask_key is None:
-            raise MaskError("mask_dates needs a mask_key")
-        key = mask_key.encode() if isinstance(mask_key, str) else mask_key
-        self.mask = Mask(key, mask_dates or "year") if key is not None else None
+        if mask_key is NOT_GIVEN:
+            if mask_dates is not NOT_GIVEN:
+                raise MaskError("mask_dates needs a mask_key")
+            self.mask = None
+        else:
+            self.mask = Mask(mask_key.encode() if isinstance(mask_key, str) else bytes(mask_key), "year" if mask_dates is NOT_GIVEN else mask_dates)
         self.spec, self.version, self.wide = spec, version, wide
         self.shape = spec or builtin(version or VERSIONS[0], wide)
         self.table = table_name or self.shape.default_table
@@ -148,54 +158,74 @@ class Options:
         return spec
 
 
-def rows_of(name: str, data: bytes, o: Options) -> list[tuple]:
-    """(batch number, values) of one file; batch numbers count closed instances of the loop `by`."""
-    try:
-        d = o.delimiters or delimiters(data)
-    except NotAnInterchange as e:
-        if not o.ignore_errors:
-            raise ReadError(f"{name}: {e}") from e
-        return [(0, Finding("NotAnInterchange", str(e), datum=data[:8]).values())] if o.table == DIAGNOSTICS else []
+#: Segments after which a run hands on what it has.
+_DRAIN = 2048
+
+
+def rows_of(name: str, data: bytes, o: Options) -> Iterator[tuple]:
+    """(batch number, values) of one file as they come; batch numbers count closed instances of the loop `by`."""
+    d = _delimiters_of(name, data, o)
+    if isinstance(d, Finding):
+        if o.table == DIAGNOSTICS:
+            yield 0, d.values()
+        return
     spec = o.spec_of(data, d)
     if o.table == DIAGNOSTICS:
         run = Run(data, spec, d, findings=True)
         run.unpad = o.unpad
-        hide = Places(spec, o.mask) if o.mask else None
-        kept = {}
+        hide, ids = Places(spec, o.mask) if o.mask else None, []
         for s in run.steps():
             if hide:
-                kept[s.index] = s
-        return [(0, (hide.hide(f, kept.get(f.segment)) if hide else f).values()) for f in run.found]
+                ids.append(s.id)
+            if s.index % _DRAIN == 0 and run.found:
+                yield from _findings(run, hide, ids)
+        yield from _findings(run, hide, ids)
+        return
     table = spec.table(o.table)
     run = Run(data, spec, d, [o.table], events=o.by is not None)
     run.unpad = o.unpad
-    out: list[tuple] = []
-    take = lambda n: out.extend((n, o.mask.row(table, v, seed) if o.mask else v) for v, seed in run.project.take(o.table))
-    if o.by is None:
-        run.all()
-        take(0)
-        return out
-    number, loop = 0, spec.loop(o.by).index
-    for _ in run.steps():
-        closed = any(e.kind == "close" and e.loop == loop for e in run.events)
-        run.events.clear()
-        if closed:
-            take(number)
-            number += 1
-    take(number)
-    return out
+    take = lambda n: [(n, o.mask.row(table, v, seed) if o.mask else v) for v, seed in run.project.take(o.table)]
+    number, loop = 0, None if o.by is None else spec.loop(o.by).index
+    for s in run.steps():
+        if loop is not None:
+            closed = any(e.kind == "close" and e.loop == loop for e in run.events)
+            run.events.clear()
+            if closed:
+                yield from take(number)
+                number += 1
+        elif s.index % _DRAIN == 0:
+            yield from take(0)
+    yield from take(number)
+
+
+def _delimiters_of(name: str, data: bytes, o: Options) -> Delimiters | Finding:
+    try:
+        return o.delimiters or delimiters(data)
+    except NotAnInterchange as e:
+        if not o.ignore_errors:
+            raise ReadError(f"{name}: {e}") from e
+        return Finding("NotAnInterchange", str(e), datum=data[:8])
 
 
-def _parser(o: Options):
-    columns = table_columns(o.shape, o.table)
-    kinds = [_types(k, s, o.binary)[0] for _, k, s, _ in columns]
-    texts = [i for i, (_, k, _, _) in enumerate(columns) if k == "binary" and not o.binary]
-    names = [*(c for c, _, _, _ in columns), "filename", "batch"]
+def _findings(run: Run, hide: Places | None, ids: list[bytes]) -> Iterator[tuple]:
+    found, run.check.found = run.check.found, []
+    for f in found:
+        yield 0, (hide.hide(f, ids[f.segment] if f.segment is not None and f.segment < len(ids) else None) if hide else f).values()
 
-    def batch(rows: list[tuple], name_of: list[str]) -> pa.RecordBatch:
-        cols = [list(c) for c in zip(*(v for _, v in rows))] or [[] for _ in kinds]
-        for i in texts:
-            if o.table == DIAGNOSTICS:
+
+class _Cells:
+    """Rows of one table to Arrow columns."""
+
+    def __init__(self, o: Options):
+        self.o, self.columns = o, table_columns(o.shape, o.table)
+        self.kinds = [_types(k, s, o.binary)[0] for _, k, s, _ in self.columns]
+        self.texts = [i for i, (_, k, _, _) in enumerate(self.columns) if k == "binary" and not o.binary]
+        self.names = [c for c, _, _, _ in self.columns]
+
+    def arrays(self, rows: list, name_of: list[str]) -> list[pa.Array]:
+        cols = [list(c) for c in zip(*rows)] or [[] for _ in self.kinds]
+        for i in self.texts:
+            if self.o.table == DIAGNOSTICS:
                 cols[i] = [None if v is None else printable(v) for v in cols[i]]
                 continue
             decoded = []
@@ -203,28 +233,103 @@ def _parser(o: Options):
                 try:
                     decoded.append(None if v is None else v.decode())
                 except UnicodeDecodeError as e:
-                    raise ReadError(f"{name_of[r]}: row {cols[0][r]}, column {columns[i][0]!r} of table {o.table!r} is not UTF-8: {printable(v)}; read with binary") from e
+                    raise ReadError(f"{name_of[r]}: row {cols[0][r]}, column {self.columns[i][0]!r} of table {self.o.table!r} is not UTF-8: {printable(v)}; read with binary") from e
             cols[i] = decoded
-        arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(name_of, pa.string()), pa.array([b for b, _ in rows], pa.int64())], names)
+        return [pa.array(c, k) for c, k in zip(cols, self.kinds)]
+
+
+def _parser(o: Options):
+    cells = _Cells(o)
+
+    def batch(rows: list[tuple], name_of: list[str]) -> pa.RecordBatch:
+        arrays = cells.arrays([v for _, v in rows], name_of)
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(name_of, pa.string()), pa.array([b for b, _ in rows], pa.int64())], [*cells.names, "filename", "batch"])
 
     def run(batches):
         rows: list[tuple] = []
         name_of: list[str] = []
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                got = rows_of(name, data.as_py() or b"", o)
-                rows += got
-                name_of += [name] * len(got)
-                while len(rows) >= BATCH:
-                    yield batch(rows[:BATCH], name_of[:BATCH])
-                    rows, name_of = rows[BATCH:], name_of[BATCH:]
+                for row in rows_of(name, data.as_py() or b"", o):
+                    rows.append(row)
+                    name_of.append(name)
+                    if len(rows) == BATCH:
+                        yield batch(rows, name_of)
+                        rows, name_of = [], []
         if rows:
             yield batch(rows, name_of)
 
     return run
 
 
+def parse_tables(contents: DataFrame, names: list[str], gate: int | None = None, **options) -> DataFrame:
+    """filename, table, and a struct for each table: the rows of several tables in one pass over the files.
+
+    gate: of files with a finding of a level up to this only the findings come out, and a row of the table `rejected`.
+    """
+    every = {n: Options(n, **options) for n in names}
+    cells = {n: _Cells(o) for n, o in every.items()}
+    first = next(iter(every.values()))
+    inner = {n: pa.struct(list(zip(c.names, c.kinds))) for n, c in cells.items()}
+    out = T.StructType([T.StructField("filename", T.StringType()), T.StructField("table", T.StringType())] + [T.StructField(n, schema(o.shape, n, o.binary)) for n, o in every.items()])
+    tables = [n for n in names if n != DIAGNOSTICS]
+    findings = DIAGNOSTICS in names or gate is not None
+
+    def batch(table: str, rows: list, name_of: list[str]) -> pa.RecordBatch:
+        n = len(name_of)
+        structs = [pa.StructArray.from_arrays(cells[t].arrays(rows, name_of), fields=list(inner[t])) if t == table else pa.nulls(n, inner[t]) for t in names]
+        return pa.RecordBatch.from_arrays([pa.array(name_of, pa.string()), pa.array([table] * n, pa.string()), *structs], ["filename", "table", *names])
+
+    def of_file(name: str, data: bytes) -> Iterator[tuple[str, list]]:
+        d = _delimiters_of(name, data, first)
+        if isinstance(d, Finding):
+            yield DIAGNOSTICS, [d.values()]
+            if gate is not None:
+                yield "rejected", [None]
+            return
+        spec = first.spec_of(data, d)
+        for o in every.values():
+            o.spec_of(data, d)  # its columns must be those that were asked for
+        run = Run(data, spec, d, tables, findings=findings)
+        run.unpad = first.unpad
+        hide, ids = Places(spec, first.mask) if first.mask else None, []
+        for s in run.steps():
+            if hide and findings:
+                ids.append(s.id)
+            if gate is None and s.index % _DRAIN == 0:
+                yield from drained(run, spec)
+        bad = gate is not None and any(f.level <= gate for f in run.found)
+        if findings:
+            yield DIAGNOSTICS, [v for _, v in _findings(run, hide, ids)]
+        if bad:
+            yield "rejected", [None]
+        else:
+            yield from drained(run, spec)
+
+    def drained(run: Run, spec: Spec) -> Iterator[tuple[str, list]]:
+        for t in tables:
+            table = spec.table(t)
+            yield t, [first.mask.row(table, v, seed) if first.mask else v for v, seed in run.project.take(t)]
+
+    def run(batches):
+        waiting: dict[str, tuple[list, list]] = {}
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                for table, got in of_file(name, data.as_py() or b""):
+                    if table not in cells and table != "rejected":
+                        continue
+                    rows, name_of = waiting.setdefault(table, ([], []))
+                    rows += got
+                    name_of += [name] * len(got)
+                    if len(rows) >= BATCH:
+                        yield batch(table, *waiting.pop(table))
+        for table, (rows, name_of) in waiting.items():
+            if rows:
+                yield batch(table, rows, name_of)
+
+    return contents.select("filename", "content").mapInArrow(run, out)
+
+
 def parse_files(contents: DataFrame, o: Options, filename: bool = True, batch: bool = False) -> DataFrame:
     """The rows of one table from rows of filename and content."""
     out = schema(o.shape, o.table, o.binary, True).add("batch", T.LongType())
@@ -244,10 +349,23 @@ class Remittance:
     """All tables of some files, each a lazy DataFrame; the facade of parse, parse_file and parse_many."""
 
     def __init__(self, contents: DataFrame, **options):
-        self.contents, self.options = contents, options
+        self.contents, self.options, self.kept = contents, options, {}
         self.spec: Spec = options.get("spec") or builtin(options.get("version") or VERSIONS[0], options.get("wide", False))
 
+    def once(self, names: list[str] | None = None) -> "Remittance":
+        """Reads the files once for several tables (all of them and the findings, if none are named), and keeps these in the shared folder."""
+        names = names or [*self.spec.table_names, DIAGNOSTICS]
+        path = scratch(self.contents.sparkSession, "tables")
+        every = parse_tables(self.contents, names, **self.options)
+        every.write.partitionBy("table").parquet(path)
+        out = Remittance(self.contents, **self.options)
+        whole = self.contents.sparkSession.read.schema(T.StructType([*every.schema.fields])).parquet(path)
+        out.kept = {n: whole.filter(F.col("table") == n).select(F.col(n).alias("row_of"), "filename").select("row_of.*", "filename") for n in names}
+        return out
+
     def table(self, name: str, filename: bool = True) -> DataFrame:
+        if name in self.kept:
+            return self.kept[name] if filename else self.kept[name].drop("filename")
         return parse_files(self.contents, Options(name, **self.options), filename)
 
     @property
@@ -262,10 +380,11 @@ class Remittance:
         """The table's rows with the number of the batch they come in: one batch for each closed instance of the loop."""
         return parse_files(self.contents, Options(table, by=by, **self.options), True, True)
 
-    def segments(self) -> DataFrame:
+    def segments(self, *columns: str) -> DataFrame:
+        """One row per segment; only what the named columns need is worked out (none: all)."""
         from remitta.operators.structure import segments_of
 
-        return segments_of(self.contents, Options(None if self.spec.default_table else self.spec.table_names[0], **self.options))
+        return segments_of(self.contents, Options(None if self.spec.default_table else self.spec.table_names[0], **self.options), *columns)
 
     def nodes(self) -> DataFrame:
         from remitta.operators.structure import nodes_of
@@ -286,7 +405,7 @@ SUFFIXES = (".txt", ".835", ".DAT")
 
 
 def parse_many(spark: SparkSession, folder: str, **options) -> Remittance:
-    """Every file of a folder with one of the known endings; files that can't be read are skipped, and show in the findings."""
+    """Every file of a folder with one of the known endings; files that can't be read are skipped, and show in the findings and in failures()."""
     found = []
     for suffix in SUFFIXES:
         try:
@@ -296,3 +415,11 @@ def parse_many(spark: SparkSession, folder: str, **options) -> Remittance:
     if not found:
         raise ReadError(f"{folder!r} holds no file ending in {', '.join(SUFFIXES)}")
     return Remittance(files(spark, sorted(found)), **({"ignore_errors": True} | options))
+
+
+def failures(r: Remittance, warn: bool = True) -> list[tuple[str, str]]:
+    """Name and reason of each file that could not be read; each is warned of."""
+    found = r.table(DIAGNOSTICS).filter("kind = 'NotAnInterchange'").select("filename", "rule").orderBy("filename").collect()
+    for f in found if warn else ():
+        warnings.warn(f"skipped {f.filename}: {f.rule}", stacklevel=2)
+    return [(f.filename, f.rule) for f in found]

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from remitta.sources.remittance import DIAGNOSTICS, Options, parse_files
+from remitta.sources.remittance import DIAGNOSTICS, Options, parse_files, parse_tables
+from remitta.sources.shared import scratch
 
 
 def arriving(spark: SparkSession, folder: str, pattern: str = "*.835", max_files: int | None = None) -> DataFrame:
@@ -30,27 +31,23 @@ def intake(spark: SparkSession, folder: str, out: str, checkpoint: str, tables:
     """Writes the tables of good files to `out`/<table>, and the findings of all to `out`/diagnostics.
 
     A file is held back, and its name written to `out`/rejected, if it has a finding of a level up to `worst_level` (1:
-    the envelope; 3: amounts too). Each batch is read once and kept only while its tables are written; a batch that is
-    run again replaces what it wrote.
+    the envelope; 3: amounts too). Each batch is read and parsed once, into the shared folder, from which its tables are
+    written; a batch that is run again replaces what it wrote.
     """
     shape = Options(None, **options).shape
     names = tables or shape.table_names
 
     def batch(files: DataFrame, number: int) -> None:
-        files = files.persist()
-        try:
-            found = parse_files(files, Options(DIAGNOSTICS, **({"ignore_errors": True} | options))).persist()
-            bad = found.filter(F.col("level") <= worst_level).select("filename").distinct()
-            good = files.join(bad, "filename", "left_anti")
-            where = lambda name: f"{out}/{name}/batch={number}"
-            found.write.mode("overwrite").parquet(where(DIAGNOSTICS))
-            bad.write.mode("overwrite").parquet(where("rejected"))
-            for name in names:
-                parse_files(good, Options(name, **({"ignore_errors": True} | options))).write.mode("overwrite").parquet(where(name))
-            found.unpersist()
-            if on_batch:
-                on_batch(good, number)
-        finally:
-            files.unpersist()
+        path = scratch(spark, "intake")
+        every = parse_tables(files, [*names, DIAGNOSTICS], worst_level, **({"ignore_errors": True} | options))
+        every.write.partitionBy("table").parquet(path)  # the files are read and parsed once
+        kept = spark.read.schema(every.schema).parquet(path)
+        of = lambda name: kept.filter(F.col("table") == name)
+        rejected = of("rejected").select("filename")
+        for name in [*names, DIAGNOSTICS]:
+            of(name).select(F.col(name).alias("row_of"), "filename").select("row_of.*", "filename").write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
+        if on_batch:
+            on_batch(files.join(rejected, "filename", "left_anti"), number)
 
     return arriving(spark, folder, pattern, max_files).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -150,7 +150,14 @@ def test_wide_frame(spark, folder):
     (c,) = compat.counts(R.files(spark, f"{folder}/a.835")).collect()
     assert (c.count_claims, c.count_patients, c.sum_payments) == (2, 2, 205.5)
     v = compat.claim_views(R.files(spark, f"{folder}/a.835")).filter("claim = 0").first()
-    assert len(v.services) == 2 and v.services[0].code == "99214"
+    assert len(v.services) == 2 and v.services[0].code == "99214" and v.status == "processed as primary" and v.dates[0].qualifier == "claim statement period start"
+    assert compat.widths(f) == {"adj": 2, "ref": 1, "rem": 0} or compat.widths(f)["adj"] >= 1
+    assert compat.appearance(f)[:3] == ["adj_0_group", "adj_0_code", "adj_0_amount"]
+    files = R.files(spark, f"{folder}/a.835")
+    assert compat.payment_views(files).first().payment_method == "automatic deposit"
+    assert {r.type for r in compat.organization_views(files).collect()} == {"payer", "payee"} and compat.interchange_views(files).first().sender == "HILLPLAN"
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
 
 
 def test_many_files_of_a_folder(spark, folder):
