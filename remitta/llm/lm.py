@@ -46,6 +46,7 @@ ROUNDS, RATE = 2, 0.1
 STEP, CHUNK = 4096, 8192  # tokens of a gradient step, and of a scoring step
 SHARD_TOKENS = 2_000_000
 FAN = 32  # messages that are averaged at a time
+COUNTED = 4000  # rows whose words are counted before they are handed on
 PARTS = 32  # pieces of the weights that are averaged apart
 END = "\n"  # no word holds it
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -69,9 +70,9 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
+            for at in range(0, batch.num_rows, COUNTED):
                 seen: Counter[bytes] = Counter()
-                part = batch.slice(at, 1000)
+                part = batch.slice(at, COUNTED)
                 for text in binary_texts(part):
                     seen.update(words(text))
                 seen[END.encode()] = part.num_rows
