@@ -37,3 +37,24 @@ class WriteError(ValueError):
     def __init__(self, message: str, findings: list = ()):
         super().__init__(message)
         self.findings = list(findings)
+
+
+class CellError(ValueError):
+    """A value that a column can't hold."""
+
+    def __init__(self, kind: str, value):
+        self.kind, self.value = kind, value
+        super().__init__(f"a column of kind {kind} cannot hold a {type(value).__name__} value ({value!r})")
+
+
+class RowError(ValueError):
+    """A row of the wrong length, or with a cell that does not fit."""
+
+
+class SegmentWriteError(ValueError):
+    """A value that holds a delimiter where no release byte can stand before it."""
+
+    def __init__(self, byte: bytes, element: int, component: int | None):
+        self.byte, self.element, self.component = byte, element, component
+        where = "segment id" if element == 0 else f"element {element}" + ("" if component is None else f", component {component}")
+        super().__init__(f"{where} holds the delimiter {byte.decode('latin-1')!r}, and no release byte is set")

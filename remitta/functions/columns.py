@@ -56,6 +56,17 @@ def whole_days(ts: Column) -> Column:
     return F.when(ts == F.date_trunc("DAY", ts), F.to_date(ts)).when(ts.isNotNull(), F.raise_error(F.concat(ts.cast("string"), F.lit(" is not a whole day"))))
 
 
+def whole(x: Column) -> Column:
+    """A number without a fraction that fits 64 bits; an error for any other."""
+    fits = (x == F.floor(x)) & (F.abs(x) < 9.2e18)
+    return F.when(fits, x.cast("bigint")).when(x.isNotNull(), F.raise_error(F.concat(x.cast("string"), F.lit(" is not a whole number that fits"))))
+
+
+def whole_seconds(x: Column, unit: int) -> Column:
+    """Seconds of a count of units, so many to a second; an error if some are left over."""
+    return F.when(x % unit == 0, (x / unit).cast("bigint")).when(x.isNotNull(), F.raise_error(F.concat(x.cast("string"), F.lit(" is not a whole number of seconds"))))
+
+
 def decimal_element(x: Column) -> Column:
     """Without zeros at the end, and without a point if nothing follows it."""
     text = x.cast("string")

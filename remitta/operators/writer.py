@@ -105,6 +105,7 @@ class Plan:
                 self.lines[loop.index].append(on)
         for t in spec.tables:
             if t.segment is not None:
+                self._refuse_repeats(t)
                 continue
             for k, c in enumerate(t.columns):
                 if c.index:
@@ -120,6 +121,56 @@ class Plan:
                     self.inside[loop] = t
                 self._place(loop, k, c)
 
+        self._refuse()
+
+    def _refuse_repeats(self, t: Table) -> None:
+        for a in t.anchors:
+            if t.segment == self.spec.loops[a].trigger:
+                raise PlanError(f'table "{t.name}" reads the segment {t.segment.decode()}, which opens loop "{self.spec.loops[a].name}"; its rows would open the loop')
+            if not any(o.segment == t.segment for o in self.spec.loops[a].occurrences):
+                raise PlanError(f'table "{t.name}" reads the segment {t.segment.decode()}, which matches no occurrence of loop "{self.spec.loops[a].name}"; it can\'t be placed')
+        places = {}
+        for c in t.columns:
+            at = (c.element, c.offset, c.component)
+            if at in places:
+                raise PlanError(f'table "{t.name}" columns "{places[at]}" and "{c.name}" write the same element')
+            places[at] = c.name
+            if c.index:
+                raise PlanError(f"table {t.name!r} column {c.name!r} reads the index of a segment; a specification with such a column can't be written")
+
+    def _refuse(self) -> None:
+        """What every written file would lack or hold twice."""
+        spec = self.spec
+        given = {t.anchors[i] for t in spec.tables if t.segment is None for i in range(len(t.anchors))}
+        written = given | set(self.groups) | set(self.inside)
+        for x in spec.loops:
+            if x.index not in given:
+                continue
+            for c in x.children:
+                child = spec.loops[c]
+                if child.required and c not in written and child.control is None and not any(c in spec.chain(w) for w in written):
+                    raise PlanError(f'loop "{x.name}" requires loop "{child.name}" (trigger {child.trigger_text()}), but no table and no column gives it instances')
+            lines = self.lines[x.index]
+            for o in x.occurrences:
+                if not o.required or o.segment in (x.trigger, x.end):
+                    continue
+                if not any(n.segment == o.segment and (o.element is None or n.fixed.get(o.element) in o.values) for n in lines) and not any(t.segment == o.segment for t in self.repeats[x.index]):
+                    raise PlanError(f'occurrence "{o.name}" ({o.selector()}) of loop "{x.name}" is required, but no column writes it')
+        for loop, lines in self.lines.items():
+            for n in lines:
+                places = {}
+                for _, c in n.columns:
+                    at = (c.element, c.component)
+                    if at in places:
+                        raise PlanError(f'columns "{places[at]}" and "{c.name}" of loop "{spec.loops[loop].name}" write the same element {n.segment.decode()}{c.element:02}')
+                    places[at] = c.name
+                same = [o for o in spec.loops[loop].occurrences if o.segment == n.segment]
+                if not n.opens and not same:
+                    raise PlanError(f'column "{n.columns[0][1].name}" reads the segment {n.segment.decode()}, which matches no occurrence of loop "{spec.loops[loop].name}"; it can\'t be placed')
+                fit = [o for o in same if o.element is None or n.fixed.get(o.element) in o.values]
+                if not n.opens and len(same) > 1 and len(fit) != 1 and n.columns:
+                    raise PlanError(f'column "{n.columns[0][1].name}" reads the segment {n.segment.decode()}, which matches {len(fit) or len(same)} occurrences of loop "{spec.loops[loop].name}" ({", ".join(o.name for o in fit or same)}); it can\'t be placed')
+
     def _pos(self, loop: int, segment: bytes, fixed: dict[int, bytes]) -> int:
         same = [o for o in self.spec.loops[loop].occurrences if o.segment == segment]
         fit = [o for o in same if o.element is None or fixed.get(o.element) in o.values]
@@ -524,7 +575,7 @@ def _message(findings: list) -> str:
 
 def write(tables: dict[str, DataFrame], envelope: Envelope, spec: Spec | None = None, allow_findings: bool = False):
     """The bytes of one file; with allow_findings, the bytes and the findings."""
-    rows = write_files({k: v.drop("filename") for k, v in tables.items()}, envelope, spec, strict=False).collect()
+    rows = write_files({k: v.drop("filename") for k, v in tables.items()}, envelope, spec, strict=False).collect() if tables else []
     if not rows:
         a = Assembler(spec or builtin(), Plan(spec or builtin()), envelope, {})
         data, findings = a.checked(), a.findings
@@ -603,16 +654,42 @@ def copy_835(spark: SparkSession, rows: DataFrame, path: str, **options) -> int:
 
 
 def save(spark: SparkSession, data: bytes, path: str) -> None:
-    """Beside the target first, then in its place."""
-    jvm = spark.sparkContext._jvm
+    """Beside the target first, then in its place at once; a longer file that is there already is not replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = target.getFileSystem(conf)
+    if fs.exists(target) and fs.getFileStatus(target).getLen() > len(data):
+        raise CopyError(f"the file at {path!r} is longer than the {len(data)} bytes to be written; remove it first")
     out = fs.create(beside, True)
     try:
         out.write(bytearray(data))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise CopyError(f"can't put the file at {path!r}")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    files.rename(fs.makeQualified(beside), fs.makeQualified(target), options)
+
+
+def save_each(written: DataFrame, folder: str) -> DataFrame:
+    """filename, n_bytes: each task puts its files (filename, content) into a folder that pyarrow's file systems reach, beside the target first."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            names, sizes = [], []
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                data = data.as_py()
+                if data is None:  # held back for its findings
+                    continue
+                with store.open_output_stream(f"{base}/{name}.part") as out:
+                    out.write(data)
+                store.move(f"{base}/{name}.part", f"{base}/{name}")
+                names.append(name)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["filename", "n_bytes"])
+
+    return written.select("filename", "content").mapInArrow(run, "filename string, n_bytes bigint")

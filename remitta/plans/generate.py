@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from remitta.sources.shared import scratch
+
 #: Customers of a file, about.
 PER_FILE = 40
 
@@ -31,8 +33,20 @@ def buckets(spark: SparkSession, sf_dir: str) -> int:
     return max(4, spark.read.parquet(f"{sf_dir}/customer.parquet").count() // PER_FILE)
 
 
+_written: dict[tuple, str] = {}
+
+
 def remittances(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
-    """filename, content. faults: some claims, lines and transactions are wrong, by their keys."""
+    """filename, content; written once for a session, to the shared folder. faults: some claims, lines and transactions are wrong, by their keys."""
+    key = (spark.sparkContext.applicationId, sf_dir, faults)
+    if key not in _written:
+        path = scratch(spark, "remittances")
+        generated(spark, sf_dir, faults).write.parquet(path)
+        _written[key] = path
+    return spark.read.schema("filename string, content binary").parquet(_written[key])
+
+
+def generated(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
     n = buckets(spark, sf_dir)
     r = relations(spark, sf_dir)
     lines = spark.sql(LINES.format(div="div").replace("from lineitem", "from {lineitem}"), lineitem=r["lineitem"])

@@ -57,6 +57,8 @@ def spec_schema(spec: Spec, binary: bool = True) -> dict[str, T.StructType]:
 
 def schema_listing(spark: SparkSession, version: str | None = None, binary: bool = False, spec: Spec | None = None) -> DataFrame:
     """table_name, column_name, column_type, parent, position of every column, the findings' table included."""
+    if binary is None:
+        raise SchemaError("the option binary is null")
     if version is not None and version not in VERSIONS:
         raise SchemaError(f"unknown version {version!r}; the built-in ones are {', '.join(VERSIONS)}")
     spec = spec or builtin(version or VERSIONS[0])
@@ -125,10 +127,14 @@ def files(spark: SparkSession, path) -> DataFrame:
 NOT_GIVEN = object()
 
 
+#: Bytes that a text column of one file may hold in a cell.
+LARGEST_TEXT = (1 << 31) - 1
+
+
 class Options:
     """What a parsing task needs to know; checked on the driver."""
 
-    def __init__(self, table_name: str | None = None, version: str | None = None, binary: bool = False, ignore_errors: bool = False, mask_key=NOT_GIVEN, mask_dates: str | None = NOT_GIVEN, spec: Spec | None = None, delimiters: Delimiters | None = None, by: str | None = None, unpad: bool = False, wide: bool = False):
+    def __init__(self, table_name: str | None = None, version: str | None = None, binary: bool = False, ignore_errors: bool = False, mask_key=NOT_GIVEN, mask_dates: str | None = NOT_GIVEN, spec: Spec | None = None, delimiters: Delimiters | None = None, by: str | None = None, unpad: bool = False, wide: bool = False, largest_text: int = LARGEST_TEXT):
         for name, value in (("binary", binary), ("ignore_errors", ignore_errors), ("mask_key", mask_key), ("mask_dates", mask_dates)):
             if value is None:
                 raise ReadError(f"the option {name} is null")
@@ -146,6 +152,7 @@ class Options:
         if self.table != DIAGNOSTICS and self.table not in self.shape.table_names:
             raise ReadError(f"unknown table {self.table!r}; known are {', '.join([*self.shape.table_names, DIAGNOSTICS])}")
         self.binary, self.ignore_errors, self.delimiters, self.by, self.unpad = binary, ignore_errors, delimiters, by, unpad
+        self.largest_text = largest_text
         if by is not None:
             self.shape.loop(by)
 
@@ -171,7 +178,8 @@ def rows_of(name: str, data: bytes, o: Options) -> Iterator[tuple]:
         return
     spec = o.spec_of(data, d)
     if o.table == DIAGNOSTICS:
-        run = Run(data, spec, d, findings=True)
+        # a text can't be dropped from a file that is no longer than it may be
+        run = Run(data, spec, d, spec.table_names if len(data) > o.largest_text else (), findings=True, largest_text=o.largest_text)
         run.unpad = o.unpad
         hide, ids = Places(spec, o.mask) if o.mask else None, []
         for s in run.steps():
@@ -182,7 +190,7 @@ def rows_of(name: str, data: bytes, o: Options) -> Iterator[tuple]:
         yield from _findings(run, hide, ids)
         return
     table = spec.table(o.table)
-    run = Run(data, spec, d, [o.table], events=o.by is not None)
+    run = Run(data, spec, d, [o.table], events=o.by is not None, largest_text=o.largest_text)
     run.unpad = o.unpad
     take = lambda n: [(n, o.mask.row(table, v, seed) if o.mask else v) for v, seed in run.project.take(o.table)]
     number, loop = 0, None if o.by is None else spec.loop(o.by).index
@@ -290,7 +298,7 @@ def parse_tables(contents: DataFrame, names: list[str], gate: int | None = None,
         spec = first.spec_of(data, d)
         for o in every.values():
             o.spec_of(data, d)  # its columns must be those that were asked for
-        run = Run(data, spec, d, tables, findings=findings)
+        run = Run(data, spec, d, tables, findings=findings, largest_text=first.largest_text)
         run.unpad = first.unpad
         hide, ids = Places(spec, first.mask) if first.mask else None, []
         for s in run.steps():

@@ -26,7 +26,7 @@ def shown(v):
     return "NULL" if v is None or isinstance(v, float) and math.isnan(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", ["s1_read_claims", "s1_read_services", "p7_unnest_adjustments", "v_findings_by_kind", "v5_control_counts", "m1_masked_claims", "m3_shifted_services", "e6_tree", "f1_numbers", "f4_times", "j7_offsets_to_segments", "w7_packing", "c10_wide_frame"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     q = duck.execute(registry.oracle_sql()[name])
@@ -37,6 +37,10 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_every_query_has_an_oracle():
+    assert set(registry.queries()) == set(registry.oracle_sql())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
