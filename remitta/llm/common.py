@@ -1,4 +1,4 @@
-"""What the corpus operators share: tables, the shared folder, id filters."""
+"""What the corpus operators share: tables, the shared folder, samples, filters and joins."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from remitta.sources.shared import saved, scratch, shared_dir  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Most ids that a filter by id sends to every executor; above it the filter is an ordinary join.
-BROADCAST_IDS = 1_000_000
+#: Bitmaps of dropped rows that are sent to every executor: 64 MB.
+BROADCAST_MAPS = 16_384
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,15 +64,19 @@ def spread_join(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
     return at_once.unionByName(rows.join(hot, key, "left_anti").join(unique, key))
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows whose id is not in `ids` (one column, named as id_col). A null id matches a null id.
+def without_rows(docs: DataFrame, dropped: DataFrame, number: str) -> DataFrame:
+    """Rows whose number (from monotonically_increasing_id) is not in `dropped` (one column).
 
-    A short list goes to every executor, so the texts stay where they are; a longer one is joined.
+    A bitmap tells them: 4 KB for each 32 768 numbers that hold any. Up to BROADCAST_MAPS of them go to every executor, so
+    the texts stay where they are; more are joined by the numbers' upper bits.
     """
-    listed = ids.select(F.col(id_col).alias("__id")).distinct()
-    if listed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        listed = F.broadcast(listed)
-    return docs.join(listed, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    maps = dropped.select(F.col(number).alias("__n")).groupBy(F.shiftright("__n", 15).alias("__of")).agg(F.bitmap_construct_agg(F.col("__n").bitwiseAND(F.lit(32767))).alias("__map"))
+    maps = saved(maps, "dropped")
+    if maps.count() <= BROADCAST_MAPS:
+        maps = F.broadcast(maps)
+    byte = F.expr(f"cast(conv(hex(substring(__map, cast((`{number}` & 32767) div 8 as int) + 1, 1)), 16, 10) as bigint)")
+    is_dropped = F.coalesce(F.getbit(byte, (F.col(number) % 8).cast("int")) == 1, F.lit(False))
+    return docs.join(maps, F.shiftright(number, 15) == F.col("__of"), "left").filter(~is_dropped).select(*docs.columns)
 
 
 def binary_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -38,6 +38,21 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert not got & set(range(500, 520))
 
 
+def test_rows_are_dropped_by_number(spark, monkeypatch):
+    """With the bitmaps sent to every executor, and joined."""
+    from pyspark.sql import functions as F
+
+    from remitta.llm import common
+
+    rows = spark.range(0, 100_000, 1, 5).select("id", (F.col("id") % 5 * (1 << 33) + F.floor(F.col("id") / 5)).cast("bigint").alias("n"))
+    gone = rows.filter("id % 3 = 0").select("n")
+    for most in (common.BROADCAST_MAPS, 0):
+        monkeypatch.setattr(common, "BROADCAST_MAPS", most)
+        left = common.without_rows(rows, gone, "n")
+        assert left.columns == ["id", "n"] and left.count() == 66_666 and left.filter("id % 3 = 0").isEmpty()
+        assert common.without_rows(rows, gone.limit(0), "n").count() == 100_000
+
+
 def test_registered_names():
     import __spark_entry__ as e
 
