@@ -4,7 +4,8 @@ toxicity: documents that it rejects go. exact_dedup: one document of each group
 document of each SimHash group stays, the one with the smallest id. decontamination: documents that hold benchmark
 windows go. bpe: the remaining documents are encoded and decoded.
 
-Rows are decided on and dropped one by one: ids may be null or stand on several rows. Null ids come after all others.
+Rows are decided on and dropped one by one, by a number that each has in its stage: ids may be null or stand on several
+rows. Null ids come after all others. Other columns of the documents stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from remitta.llm import bpe as tokens
 from remitta.llm import exact_dedup as exact
 from remitta.llm import simhash, toxicity, winnowing
-from remitta.llm.common import saved, table, without_ids
+from remitta.llm.common import saved, table, without_rows
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _without(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """The numbered rows but for those whose key is the doc_id of `decided`."""
-    dropped = saved(decided.select(F.col("doc_id.row").alias("__row")), "dropped")
-    return without_ids(rows, dropped, "__row").drop("__row", "__key")
+    return without_rows(rows, decided.select(F.col("doc_id.row").alias("__row")), "__row").drop("__row", "__key")
 
 
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
