@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,12 +112,14 @@ def expand(spark: SparkSession, path) -> list[str]:
 
 def files(spark: SparkSession, path) -> DataFrame:
     """filename, content."""
-    paths = expand(spark, path)
     if isinstance(path, str) and is_pattern(path):
         plain: list[str] | str = path  # Spark lists the files itself, on many threads
-    else:
-        # names that were asked for may hold characters that Spark would take for a pattern
-        plain = ["".join("\\" + c if c in "*?[]{}" else c for c in p) for p in paths]
+        try:
+            return spark.read.format("binaryFile").load(plain).select(F.col("path").alias("filename"), "content")
+        except AnalysisException as e:
+            raise ReadError(f"no file matches {path!r}") from e
+    # names that were asked for may hold characters that Spark would take for a pattern
+    plain = ["".join("\\" + c if c in "*?[]{}" else c for c in p) for p in expand(spark, path)]
     return spark.read.format("binaryFile").load(plain).select(F.col("path").alias("filename"), "content")
 
 

@@ -10,9 +10,9 @@ from remitta.functions.values import decimal_display, printable, time_display
 from remitta.sources.remittance import DIAGNOSTICS, Remittance
 
 
-def json_view(r: Remittance) -> DataFrame:
-    """filename, view: segments, nodes, tables and findings of each file as one JSON text. Files are parsed once for all tables."""
-    r = r.once()
+def json_view(r: Remittance, mask_key: bytes | None = None) -> DataFrame:
+    """filename, view: segments, nodes, tables and findings of each file as one JSON text. Files are parsed once for all tables; the key masks tables and findings, not the segments."""
+    r = (Remittance(r.contents, **(r.options | {"mask_key": mask_key})) if mask_key is not None else r).once()
     listed = lambda df, name, order: df.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("bigint" if c == order else "string").alias(c) for c in [order, *(x for x in df.columns if x not in (order, "filename"))]]))).alias(name))
     segments = r.segments().select("filename", "segment", "id", F.decode("raw", "ISO-8859-1").alias("raw"), "loop", "path", "node")
     out = listed(segments, "segments", "segment").join(listed(r.nodes().drop("segments", "unmatched"), "nodes", "node"), "filename", "left")
