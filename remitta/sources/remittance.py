@@ -233,7 +233,8 @@ class _Cells:
         self.texts = [i for i, (_, k, _, _) in enumerate(self.columns) if k == "binary" and not o.binary]
         self.names = [c for c, _, _, _ in self.columns]
 
-    def arrays(self, rows: list, name_of: list[str]) -> list[pa.Array]:
+    def values(self, rows: list, name_of: list[str]) -> list[list]:
+        """Columns, texts decoded."""
         cols = [list(c) for c in zip(*rows)] or [[] for _ in self.kinds]
         for i in self.texts:
             if self.o.table == DIAGNOSTICS:
@@ -246,7 +247,10 @@ class _Cells:
                 except UnicodeDecodeError as e:
                     raise ReadError(f"{name_of[r]}: row {cols[0][r]}, column {self.columns[i][0]!r} of table {self.o.table!r} is not UTF-8: {printable(v)}; read with binary") from e
             cols[i] = decoded
-        return [pa.array(c, k) for c, k in zip(cols, self.kinds)]
+        return cols
+
+    def arrays(self, rows: list, name_of: list[str]) -> list[pa.Array]:
+        return [pa.array(c, k) for c, k in zip(self.values(rows, name_of), self.kinds)]
 
 
 def _parser(o: Options):
