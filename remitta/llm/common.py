@@ -74,9 +74,10 @@ def without_rows(docs: DataFrame, dropped: DataFrame, number: str) -> DataFrame:
     maps = saved(maps, "dropped")
     if maps.count() <= BROADCAST_MAPS:
         maps = F.broadcast(maps)
-    byte = F.expr(f"cast(conv(hex(substring(__map, cast((`{number}` & 32767) div 8 as int) + 1, 1)), 16, 10) as bigint)")
-    is_dropped = F.coalesce(F.getbit(byte, (F.col(number) % 8).cast("int")) == 1, F.lit(False))
-    return docs.join(maps, F.shiftright(number, 15) == F.col("__of"), "left").filter(~is_dropped).select(*docs.columns)
+    byte = F.expr("cast(conv(hex(substring(__map, cast((n & 32767) div 8 as int) + 1, 1)), 16, 10) as bigint)")
+    is_dropped = F.coalesce(F.getbit(byte, (F.col("n") % 8).cast("int")) == 1, F.lit(False))
+    rows = docs.select(F.col(number).alias("n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))  # names of its columns can't clash with ours
+    return rows.join(maps, F.shiftright("n", 15) == F.col("__of"), "left").filter(~is_dropped).select("r.*")
 
 
 def binary_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

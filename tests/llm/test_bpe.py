@@ -60,3 +60,22 @@ def test_rows(spark, reference):
     back = {r.doc_id: r.text for r in bpe.decoded(bpe.bpe(spark, df.filter("doc_id < 20"), with_ids=True)).collect()}
     assert back == dict(rows[: len(TEXTS)])
     assert bpe.bpe(spark, df.limit(0)).count() == 0
+
+
+def test_long_pieces_grow_little_faster_than_their_length():
+    """Pieces without a break, of one letter and of many."""
+    import random
+    import time
+
+    from remitta.llm.bpe import installed
+
+    coder, rng = installed("byte_bpe_50k.tiktoken"), random.Random(4)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80_000))
+    for text in ("a" * 80_000, letters):
+        took = []
+        for n in (40_000, 80_000):
+            began = time.perf_counter()
+            ids = coder.encode(text[:n])
+            took.append(time.perf_counter() - began)
+            assert coder.decode(ids) == text[:n].encode()
+        assert took[1] < 4 * took[0] + 0.2

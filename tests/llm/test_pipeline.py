@@ -53,6 +53,26 @@ def test_rows_are_dropped_by_number(spark, monkeypatch):
         assert common.without_rows(rows, gone.limit(0), "n").count() == 100_000
 
 
+def test_columns_with_clashing_names(spark, tmp_path):
+    """Other columns come through every stage as they are."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows = [(i, " ".join(f"t{i}x{j}" for j in range(60))) for i in range(30)] + [(30, " ".join(f"t1x{j}" for j in range(60))), (31, f"x {item} y"), (None, None), (40, "")]
+    names = ["__row", "__key", "__ROW_", "kept", "keep_id", "component_id", "fp", "digest", "norm", "row", "__map", "__of", "contaminated", "spans", "rejected", "grade", "batch"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", "text", *[F.lit(f"own {n}").alias(n) for n in names])
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in P.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns, name
+        assert all(r[n] == f"own {n}" for r in after.collect() for n in names), name
+        docs = after
+    assert sorted(r.doc_id for r in docs.collect() if r.doc_id is not None) in ([*range(30), 40], list(range(30)))
+    assert docs.limit(0).count() == 0 and P.exact_copies_out(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_registered_names():
     import __spark_entry__ as e
 
