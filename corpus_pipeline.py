@@ -23,30 +23,39 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(spark, docs, table(spark, sf_dir, "labels"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written once so it stays, and a key that orders rows by id, then number."""
-    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    return rows.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a number for each row, written once so it stays; and key and text alone, the key ordering rows by id, then number."""
+    number = _free(docs, "__row")
+    rows = saved(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    return rows, rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(number).alias("row")).alias("doc_id"), "text")
 
 
 def _without(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """The numbered rows but for those whose key is the doc_id of `decided`."""
-    return without_rows(rows, decided.select(F.col("doc_id.row").alias("__row")), "__row").drop("__row", "__key")
+    number = rows.columns[-1]
+    return without_rows(rows, decided.select(F.col("doc_id.row").alias(number)), number).drop(number)
 
 
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    return _without(rows, exact.exact_dedup(spark, rows, "__key").filter(~F.col("kept")))
+    rows, keyed = _numbered(docs)
+    return _without(rows, exact.exact_dedup(spark, keyed).filter(~F.col("kept")))
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    return _without(rows, simhash.simhash_groups(spark, rows, "__key").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    rows, keyed = _numbered(docs)
+    return _without(rows, simhash.simhash_groups(spark, keyed).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    return _without(rows, winnowing.decontaminate(spark, rows, table(spark, sf_dir, "benchmark"), "__key").filter("contaminated"))
+    rows, keyed = _numbered(docs)
+    return _without(rows, winnowing.decontaminate(spark, keyed, table(spark, sf_dir, "benchmark")).filter("contaminated"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
