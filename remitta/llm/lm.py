@@ -7,9 +7,9 @@ of a text, none of which is frequent, are joined with the counts.
 
 Model. The VOCABULARY most frequent tokens (ties by word) make CLASSES classes of GROUPS groups of GROUP_SIZE words, by
 rank; one more class holds all other words. P(token) = P(class | history) P(group | class, history) P(token | group,
-history), each a softmax over hashed features of the history (the last word, the last two, the word before the last)
-added to log-priors from the counts. Words of the last class share its probability in proportion to their base
-probability, so the model is normalised. Training is stochastic gradient descent in every shard of the training
+history), each a softmax over hashed features of the history (the last word, the last two, the word before the last, the
+third last) added to log-priors from the counts. Words of the last class share its probability in proportion to their
+base probability, so the model is normalised. Training is stochastic gradient descent in every shard of the training
 documents, starting from the common weights; the weights' changes are averaged by tokens in steps of at most FAN
 messages and added, ROUNDS times, each on its share of the documents; all training documents take part. Scoring works on batches of sparse rows in numpy.
 
@@ -166,15 +166,15 @@ class Batch:
         self.sizes = np.diff(np.r_[self.starts, len(tokens)])
         place = np.arange(len(tokens)) - np.repeat(self.starts, self.sizes)
         back = []
-        for k in (1, 2):
+        for k in (1, 2, 3):
             b = np.full(len(tokens), _START, np.uint64)
             ok = place >= k
             b[ok] = ids[np.flatnonzero(ok) - k]
             back.append(b)
-        b1, b2 = back
+        b1, b2, b3 = back
         m = np.uint64(0x9E3779B97F4A7C15)
         mix = lambda x, salt: (x + np.uint64(salt)) * m
-        self.features = [mix(b1, 1), mix(mix(b1, 2) ^ b2, 3), mix(b2, 5)]
+        self.features = [mix(b1, 1), mix(mix(b1, 2) ^ b2, 3), mix(b2, 5), mix(b3, 7)]
         vocabulary = (self.index >= 0) & (self.index < VOCABULARY)
         self.classes = np.where(vocabulary, self.index // (GROUPS * GROUP_SIZE), CLASSES)
         self.groups = np.where(vocabulary, self.index // GROUP_SIZE, 0)  # numbered through all classes
