@@ -27,6 +27,7 @@ from __future__ import annotations
 import dataclasses
 import math
 from collections import Counter
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -83,20 +84,13 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return saved(counted.groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-class _Index(dict):
-    """Word -> place by frequency, -1 for other words."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Common:
     """What every task knows of the counts."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, distinct: int):
         """words: by falling count."""
         self.counts, self.tokens, self.distinct = counts, tokens, distinct
-        self.index = _Index((w, i) for i, w in enumerate(words))
+        self.index = {w: i for i, w in enumerate(words)}
         self._derive()
 
     def __getstate__(self):
@@ -104,7 +98,7 @@ class Common:
 
     def __setstate__(self, state):
         joined, self.counts, self.tokens, self.distinct = state
-        self.index = _Index((w, i) for i, w in enumerate(joined.split(b" "))) if len(self.counts) else _Index()
+        self.index = {w: i for i, w in enumerate(joined.split(b" "))} if len(self.counts) else {}
         self._derive()
 
     def _derive(self):
@@ -159,10 +153,10 @@ class Batch:
             tokens += words(text)
             tokens.append(END.encode())
         self.tokens = tokens
-        self.index = np.fromiter(map(known.index.__getitem__, tokens), np.int64, len(tokens))
+        self.index = np.fromiter(map(known.index.get, tokens, repeat(-1)), np.int64, len(tokens))
         ids = known.ids[self.index]
-        for i in np.flatnonzero(self.index < 0).tolist():
-            ids[i] = crc32(tokens[i])
+        others = np.flatnonzero(self.index < 0)
+        ids[others] = np.fromiter(map(crc32, map(tokens.__getitem__, others.tolist())), np.uint64, len(others))
         self.sizes = np.diff(np.r_[self.starts, len(tokens)])
         place = np.arange(len(tokens)) - np.repeat(self.starts, self.sizes)
         back = []
