@@ -58,3 +58,16 @@ def test_errors_of_columns(spark):
     for c in (C.rescale(F.col("x"), 1), C.whole_days(F.col("t"))):
         with pytest.raises(Exception, match="has more than|not a whole day"):
             df.select(c).collect()
+
+
+def test_scaled_amounts():
+    """The checks add up whole units; they are those of the decimals."""
+    from remitta.functions.values import parse_r, scaled_r
+
+    texts = [b"", b"-", b".", b"-.", b"0", b"-0", b"-0.00", b"1.", b".5", b"-.05", b"0012.30", b"1.234", b"+1", b"1e5", b" 1", b"9" * 36, b"9" * 37, b"0" * 9 + b"9" * 36 + b".25", b"9" * 35 + b".999"]
+    for scale in (0, 2, 3):
+        for t in texts:
+            d, n = parse_r(t, scale), scaled_r(t, scale)
+            assert (d is None) == (n is None), t
+            if d is not None:
+                assert int(f"{d:f}".replace(".", "")) == n and d.as_tuple().exponent == -scale and d.is_signed() == t.startswith(b"-")
