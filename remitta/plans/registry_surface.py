@@ -190,8 +190,8 @@ def s14_parse_bytes(spark, sf_dir):
 @query(f"{BASE} SELECT filename, CAST(sum(n_claims) AS BIGINT) AS claims, CAST(sum(n_lines) AS BIGINT) AS services, CAST(5 + sum(12 + n_lx + 3 * n_claims + 5 * n_lines) AS BIGINT) AS segments FROM totals GROUP BY 1")
 def s16_json_view(spark, sf_dir):
     view = json_view(Remittance(remittances(spark, sf_dir)))
-    size = lambda name: F.json_array_length(F.get_json_object("view", f"$.{name}")).cast("bigint").alias(name)
-    return view.select("filename", size("claims"), size("services"), size("segments"))
+    parts = view.select("filename", F.from_json("view", "claims array<struct<row:bigint>>, services array<struct<row:bigint>>, segments array<struct<segment:bigint>>").alias("v"))
+    return parts.select("filename", *(F.size(f"v.{name}").cast("bigint").alias(name) for name in ("claims", "services", "segments")))
 
 
 @query(f"{BASE} SELECT (SELECT count(*) FROM claims) AS n, CAST(1 AS BIGINT) AS failed, TRUE AS warned")

@@ -2,24 +2,101 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from remitta.errors import ReadError
 from remitta.functions import columns as C
 from remitta.functions.values import decimal_display, printable, time_display
-from remitta.sources.remittance import DIAGNOSTICS, Remittance
+from remitta.operators.checks import Finding
+from remitta.operators.engine import Run
+from remitta.operators.masking import Places
+from remitta.sources.remittance import DIAGNOSTICS, Options, Remittance, _delimiters_of, _findings, table_columns
 
 
 def json_view(r: Remittance, mask_key: bytes | None = None) -> DataFrame:
-    """filename, view: segments, nodes, tables and findings of each file as one JSON text. Files are parsed once for all tables; the key masks tables and findings, not the segments."""
-    r = (Remittance(r.contents, **(r.options | {"mask_key": mask_key})) if mask_key is not None else r).once()
-    listed = lambda df, name, order: df.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("bigint" if c == order else "string").alias(c) for c in [order, *(x for x in df.columns if x not in (order, "filename"))]]))).alias(name))
-    segments = r.segments().select("filename", "segment", "id", F.decode("raw", "ISO-8859-1").alias("raw"), "loop", "path", "node")
-    out = listed(segments, "segments", "segment").join(listed(r.nodes().drop("segments", "unmatched"), "nodes", "node"), "filename", "left")
-    for name, df in r.tables.items():
-        out = out.join(listed(df, name, "row"), "filename", "left")
-    out = out.join(listed(r.table(DIAGNOSTICS), DIAGNOSTICS, "segment"), "filename", "left")
-    return out.select("filename", F.to_json(F.struct(*[c for c in out.columns if c != "filename"])).alias("view"))
+    """filename, view: segments, nodes, tables and findings of each file as one JSON text. Each file is read once, and its view made in one task; the key masks tables and findings, not the segments."""
+    options = r.options | ({"mask_key": mask_key} if mask_key is not None else {})
+    tables = list(r.spec.table_names)
+    every = {n: Options(n, **options) for n in [*tables, DIAGNOSTICS]}
+    first, columns = next(iter(every.values())), {n: table_columns(o.shape, n) for n, o in every.items()}
+    write = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), check_circular=False).encode
+
+    def text(v, kind: str) -> str:
+        if isinstance(v, bytes):
+            return printable(v) if kind == "text" else v.decode(errors="replace" if first.binary else "strict")
+        return f"{v:f}" if kind == "decimal" else str(v)
+
+    def row(name: str, table: str, values: list, order: int) -> dict:
+        """The cell that orders the rows first; nulls are left out."""
+        out = {} if values[order] is None else {columns[table][order][0]: values[order]}
+        for i, ((column, kind, _, _), v) in enumerate(zip(columns[table], values)):
+            if v is None or i == order:
+                continue
+            try:
+                out[column] = text(v, "text" if table == DIAGNOSTICS else kind)
+            except UnicodeDecodeError as e:
+                raise ReadError(f"{name}: row {values[0]}, column {column!r} of table {table!r} is not UTF-8: {printable(v)}; read with binary") from e
+        return out
+
+    def view(name: str, data: bytes) -> str | None:
+        d = _delimiters_of(name, data, first)
+        if isinstance(d, Finding):
+            return None
+        for o in every.values():
+            spec = o.spec_of(data, d)  # its columns must be those that were asked for
+        run = Run(data, spec, d, tables, findings=True, events=True, largest_text=first.largest_text)
+        run.unpad = first.unpad
+        hide, ids, loops, path = Places(spec, first.mask) if first.mask else None, [], spec.loops, ""
+        segments, nodes = [], [{"node": 0, "implicit": "false"}]
+        for s in run.steps():
+            node, loop = run.stack[-1][1] if run.stack else None, None
+            moved = False
+            for e in run.events:
+                if e.kind == "cap":
+                    node, loop = e.instance, loops[e.loop].name
+                elif e.kind in ("open", "open!"):
+                    moved = True
+                    nodes.append({"node": e.instance + 1, "parent": str(0 if e.parent is None else e.parent + 1), "loop": loops[e.loop].name, "ordinal": str(e.ordinal), "implicit": str(e.kind == "open!").lower(), "opened_by": str(e.segment)})
+                elif e.kind == "close":
+                    moved = True
+                elif e.kind == "unmatched":
+                    node = e.instance
+            run.events.clear()
+            if moved:
+                path = run.path()
+            ids.append(s.id)
+            one = {"segment": s.index, "id": s.id.decode("latin-1"), "raw": data[s.start : s.stop].decode("latin-1")}
+            if loop is not None:
+                one["loop"] = loop
+            one["path"] = path
+            if node is not None:
+                one["node"] = str(node)
+            segments.append(one)
+        out = {"segments": segments, "nodes": nodes}
+        for t in tables:
+            table = spec.table(t)
+            rows = sorted((first.mask.row(table, v, seed) if first.mask else v for v, seed in run.project.take(t)), key=lambda v: v[0])
+            if rows:
+                out[t] = [row(name, t, v, 0) for v in rows]
+        at = [c for c, _, _, _ in columns[DIAGNOSTICS]].index("segment")
+        found = [row(name, DIAGNOSTICS, v, at) for _, v in _findings(run, hide, ids)]
+        if found:
+            names = ["segment", *(c for c, _, _, _ in columns[DIAGNOSTICS] if c != "segment")]
+            out[DIAGNOSTICS] = sorted(found, key=lambda f: [(c in f, f.get(c)) for c in names])
+        return write(out)
+
+    def views(batches):
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                got = view(name, data.as_py() or b"")
+                if got is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([got], pa.string())], ["filename", "view"])
+
+    return r.contents.select("filename", "content").mapInArrow(views, "filename string, view string")
 
 
 def csv_lines(df: DataFrame) -> DataFrame:

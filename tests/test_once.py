@@ -52,3 +52,17 @@ def test_failures_parse_headers_only(spark, monkeypatch, tmp_path):
     assert name.endswith("/a.txt") and "ISA" in why
     monkeypatch.undo()
     assert {n.rsplit("/", 1)[1] for n in (x.filename for x in r.table("claims").select("filename").distinct().collect())} == {"b.835", "c.DAT"}
+
+
+def test_json_view(counted):
+    import json
+
+    from remitta.sources.remittance import Remittance
+    from remitta.sources.views import json_view
+
+    files, reads = counted
+    views = {r.filename: json.loads(r.view) for r in json_view(Remittance(files)).collect()}
+    assert reads.value == 2
+    v = views["0.835"]
+    assert [len(v[n]) for n in ("claims", "services", "payments")] == [2, 2, 1] and v["claims"][0]["charge_amount"] == "150.00"
+    assert {"node": 0, "implicit": "false"} == v["nodes"][0] and v["segments"][2]["raw"].startswith("\nST*835*0009") and "statement_to" not in v["claims"][1]
