@@ -141,3 +141,14 @@ def test_only_values_with_delimiters_are_looked_at(monkeypatch):
     monkeypatch.setattr(Assembler, "_safe", None)
     data = assembler().file()
     assert b"~NM1*QC*1*GREEN*AVA****MI*M0017~" in data and b"~SVC*HC:99214*100.00*90.50**1" in data
+
+
+def test_rows_of_a_file_as_plain_values():
+    import pyarrow as pa
+
+    from remitta.operators.writer import _plain
+
+    lists = pa.chunked_array([pa.array([[b"a", None], None, []], pa.list_(pa.binary())).slice(0, 2), pa.array([[b"b"]] * 2, pa.list_(pa.binary())).slice(1)])
+    assert _plain(lists) == [[b"a", None], [], [b"b"]]
+    numbers = pa.chunked_array([pa.array([1 << 60, None]), pa.array([(1 << 60) + 1])])
+    assert _plain(numbers) == [1 << 60, None, (1 << 60) + 1] and _plain(pa.chunked_array([pa.array(["x", None])])) == ["x", None]
