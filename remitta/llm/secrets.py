@@ -8,18 +8,25 @@ its end, with 24 characters before and after. A candidate's probability is the h
 the threshold are added, and for the patterns' finds it is counted how many do. What a pattern has found is cut out of
 a run first, and what remains of it is a candidate if it is long and mixed enough by itself.
 
-Training: findings of the patterns in a bounded sample of documents (`sample_rows` texts, of each the
-`spans_per_text` parts and `words_per_text` words whose hashes are least, from the whole text) and generated secrets
-count as secrets; candidates of the sample that no pattern finds (but for those that a first network, fitted on the generated examples
-alone, takes for secrets), ordinary words and generated harmless look-alikes
+Training: every document teaches, with every part of what it holds. Findings of the patterns and generated secrets
+count as secrets; candidates that no pattern finds (but for those parts that the first network, fitted on the generated
+examples alone, takes for secrets), words of at least eight letters outside both, and generated harmless look-alikes
 (numbers, addresses, paths, version and date strings, names joined by case or underscore) as harmless. Long runs are
 generated too, with and without a secret at any place; their parts that hold the secret, or 16 characters of it, count
-as secrets, those that hold nothing of it as harmless. A quarter is kept out of the training to scale the outputs to
-probabilities and to set the threshold: the highest one at which at least `RECALL` of the kept-out secrets are found.
+as secrets, those that hold nothing of it as harmless. A quarter of the generated examples is kept out of the training.
+
+The documents are dealt to shards by a hash of id and text, about SHARD_BYTES of text each. In every shard the first
+network goes on learning: STEP parts of documents at a time in the order of the hash, each once, beside REPLAY generated
+ones. The shards' changes are averaged by the number of parts, in steps of at most FAN messages. Before a part is learned
+from, its output goes into a histogram (SCALE bins a unit), so every part of every document is judged by a network that
+has not seen it. The histograms' sums and the generated examples kept out scale the outputs to probabilities and set the
+threshold: the highest one at which at least `RECALL` of these secrets are found. (There the documents' secrets, and what
+is harmless in them, weigh no more together than the generated ones.) The network depends on the rows alone, up to
+rounding, not on how they are partitioned.
 
 Defined cases: null and empty texts have no spans; offsets are in code points, ends exclusive. Repeated rows get equal
-results; of an id on several rows one text is learned from. With no documents the network learns from the generated
-examples alone. A text of any length is read whole. Other columns are not read.
+results, and each is learned from; rows that repeat both id and text meet in one shard, which reads them as a stream.
+With no documents the network learns from the generated examples alone. A text of any length is read whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +34,14 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import re
-from zlib import crc32
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitta.llm.common import hashed_sample, id_text, one_text
+from remitta.llm.common import id_text, release, slices
 
 KINDS = ("assign", "access", "hex", "network")
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -42,8 +49,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the same as runs of any length without those shorter than 32
 LEAST = 12
 RUN = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
-SAMPLE_ROWS, SPANS_PER_TEXT, WORDS_PER_TEXT, RECALL = 1500, 64, 3, 0.98
-FIRST_EPOCHS = 4
+WORDS = re.compile(r"[^\W\d_]{8,}")
+RECALL = 0.98
+SHARD_BYTES = 4_000_000
+MOST_TASKS = 2000  # shards are learned one after another in a task if they are more
+STEP, REPLAY, RATE = 224, 32, 0.001  # parts of documents and generated parts of a gradient step, and its rate
+SCALE, BINS = 16, 2048  # of the histograms of outputs, from -BINS / 2 / SCALE
+FAN = 32  # messages that are averaged at a time
 BEFORE, INSIDE, AFTER, STRIDE = 24, 40, 24, 20
 WIDTH = BEFORE + INSIDE + AFTER
 _DIGITS = re.compile(r"[0-9]")
@@ -125,6 +137,22 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+def windows_of(text: str, found: list[tuple[int, int]]) -> np.ndarray:
+    """As window() of each of the parts, which are near each other in the text."""
+    first, last = min(s for s, _ in found), max(e for _, e in found)
+    begin = max(0, first - BEFORE)
+    piece = text[begin : last + AFTER].encode("utf-32-le", "surrogatepass")
+    codes = np.full(BEFORE + len(piece) // 4 + WIDTH, -1, np.int16)
+    codes[BEFORE : BEFORE + len(piece) // 4] = np.minimum(np.frombuffer(piece, np.uint32), 128)
+    span = np.array(found)
+    size = (span[:, 1] - span[:, 0])[:, None]
+    at = np.arange(WIDTH)
+    out = codes[span[:, :1] - begin + at]
+    out[at >= BEFORE + size + AFTER] = -1
+    out[(at >= BEFORE) & (at < BEFORE + size)] += 129
+    return out
+
+
 def _input(windows: np.ndarray) -> np.ndarray:
     x = _ONE_HOT[windows % 129] * (windows >= 0)[..., None]
     x[..., -1] = windows >= 129
@@ -156,7 +184,7 @@ class Network:
 
     def logits(self, windows: np.ndarray) -> np.ndarray:
         """As _forward; the inputs are codes, so the convolution is a sum of looked-up rows."""
-        of = _input(np.arange(-1, 258)) @ self.kernel.reshape(5, CHANNELS, -1)
+        of = _INPUTS @ self.kernel.reshape(5, CHANNELS, -1)
         n, out = WIDTH - 4, []
         for i in range(0, len(windows), 256):
             codes = windows[i : i + 256].astype(np.int64) + 1
@@ -191,41 +219,125 @@ class Network:
         return out
 
 
+_INPUTS = _input(np.arange(-1, 258)).astype(np.float32)
+_SHORT = 16
+
+
+class Descent:
+    """Adam on a network's weights."""
+
+    def __init__(self, net: Network, rate: float):
+        self.net, self.rate, self.step = net, rate, 0
+        self.state: dict[str, list] = {}
+
+    def learn(self, windows: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """One step; returns the outputs before it."""
+        z, grads = gradients(self.net, windows, y)
+        self.step += 1
+        for name, grad in grads.items():
+            m = self.state.setdefault(name, [0, 0])
+            m[0], m[1] = 0.9 * m[0] + 0.1 * grad, 0.99 * m[1] + 0.01 * grad**2
+            setattr(self.net, name, getattr(self.net, name) - self.rate * (m[0] / (1 - 0.9**self.step)) / (np.sqrt(m[1] / (1 - 0.99**self.step)) + 1e-6))
+        return z
+
+
+def gradients(net: Network, windows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Outputs, and the gradients of the mean loss. Windows of short parts are cut where nothing but padding follows."""
+    size = (windows >= 129).sum(1)
+    z, total = np.zeros(len(y)), None
+    for rows in (np.flatnonzero(size <= _SHORT), np.flatnonzero(size > _SHORT)):
+        if len(rows):
+            width = min(WIDTH, BEFORE + int(size[rows].max()) + AFTER + 5)
+            z[rows], grads = _gradients(net, windows[rows, :width], y[rows], len(y))
+            total = grads if total is None else {k: total[k] + g for k, g in grads.items()}
+    return z, total
+
+
+def _gradients(net: Network, windows: np.ndarray, y: np.ndarray, of_all: int) -> tuple[np.ndarray, dict]:
+    n, width = windows.shape
+    filters, places = len(net.bias), WIDTH - 4
+    rest = WIDTH - width  # positions cut off, where the input is zero
+    idle = np.maximum(net.bias, 0)
+    codes = windows.astype(np.intp).ravel() + 1
+    table = _INPUTS @ net.kernel.reshape(5, CHANNELS, filters)
+    a = table[0].take(codes, 0)
+    more = np.empty_like(a)
+    for k in range(1, 5):
+        np.take(table[k], codes, axis=0, out=more, mode="clip")
+        a[:-k] += more[k:]
+    a += net.bias
+    np.maximum(a, 0, out=a)
+    a = a.reshape(n, width, filters)
+    a[:, width - 4 :] = 0  # these reach into the next window
+    top, left = a, width
+    while left > 1:
+        half = (left + 1) // 2
+        top, left = np.maximum(top[:, :half], top[:, left - half :]), half
+    top = top[:, 0]
+    total = (np.ones((1, width), np.float32) @ a)[:, 0]
+    pooled = np.concatenate([top, (total + rest * idle) / np.float32(places)], 1)
+    z = pooled @ net.out + net.out_bias
+    g = (((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y) / of_all).astype(np.float32)
+    g_pool = g[:, None] * net.out[None, :].astype(np.float32)
+    g_mean = g_pool[:, filters:] / np.float32(places)
+    is_top = a == top[:, None, :]
+    back = np.zeros((n * width + 4, filters), np.float32)  # four rows of zeros go before
+    g_a = back[4:].reshape(n, width, filters)
+    ties = is_top.view(np.uint8).sum(1, dtype=np.uint8).astype(np.float32)
+    np.multiply(is_top, (g_pool[:, :filters] / ties)[:, None, :], out=g_a)
+    g_a += g_mean[:, None, :]
+    g_a *= a > 0
+    # what meets a code at any of the five places lies side by side; equal codes are added up
+    beside = np.lib.stride_tricks.as_strided(back, (n * width, 5 * filters), (4 * filters, 4))
+    short = codes.astype(np.uint16)
+    order = short.argsort(kind="stable")
+    short = short[order]
+    first = np.flatnonzero(np.r_[True, short[1:] != short[:-1]])
+    one = np.ones(len(order), np.float32)
+    by_code = np.array([one[i:j] @ beside[order[i:j]] for i, j in zip(first, [*first[1:], len(order)])])
+    kernel = (_INPUTS[short[first]].T @ by_code).reshape(CHANNELS, 5, filters).transpose(1, 0, 2)[::-1]
+    bias = by_code[:, 4 * filters :].sum(0) + rest * g_mean.sum(0) * (net.bias > 0)
+    return z, {"kernel": kernel.reshape(5 * CHANNELS, filters), "bias": bias, "out": pooled.T @ g, "out_bias": g.sum()}
+
+
+def kept_out(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a quarter of n examples, and of those to learn from."""
+    order = np.random.default_rng(7).permutation(n)
+    return order[: n // 4], order[n // 4 :]
+
+
 def fit(windows: np.ndarray, y: np.ndarray, filters: int = 24, epochs: int = 10, rate: float = 0.01) -> Network:
     rng = np.random.default_rng(7)
-    order = rng.permutation(len(y))
-    held, used = order[: len(y) // 4], order[len(y) // 4 :]
+    held, used = kept_out(len(y))
     net = Network((rng.standard_normal((5 * CHANNELS, filters)) * 0.1).astype(np.float32), np.zeros(filters, np.float32), (rng.standard_normal(2 * filters) * 0.1).astype(np.float32), 0.0)
-    state: dict[str, list] = {}
-    step = 0
+    descent = Descent(net, rate)
     for _ in range(epochs):
         rng.shuffle(used)
         for i in range(0, len(used), 64):
-            rows = used[i : i + 64]
-            cols = net._columns(windows[rows])
-            a, top, pooled, z = net._forward(cols)
-            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y[rows]) / len(rows)
-            g_pool = g[:, None] * net.out[None, :]
-            g_a = np.repeat(g_pool[:, None, filters:] / a.shape[1], a.shape[1], 1)
-            np.put_along_axis(g_a, top[:, None, :], np.take_along_axis(g_a, top[:, None, :], 1) + g_pool[:, None, :filters], 1)
-            g_a *= a > 0
-            flat = g_a.reshape(-1, filters)
-            step += 1
-            for name, grad in (("kernel", cols.reshape(len(flat), -1).T @ flat), ("bias", flat.sum(0)), ("out", pooled.T @ g), ("out_bias", g.sum())):
-                m = state.setdefault(name, [0, 0])
-                m[0], m[1] = 0.9 * m[0] + 0.1 * grad, 0.99 * m[1] + 0.01 * grad**2
-                setattr(net, name, getattr(net, name) - rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6))
-    z = net.logits(windows[held])
-    t = y[held]
-    for _ in range(300):  # logistic calibration
-        p = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -30, 30)))
-        net.scale -= 0.1 * float(((p - t) * z).mean()) / max(1.0, float((z**2).mean()) ** 0.5)
-        net.shift -= 0.5 * float((p - t).mean())
-    p = np.sort(net.probability(windows[held[t == 1]]))
-    net.threshold = float(p[int((1 - RECALL) * len(p))]) if len(p) else 0.5
+            descent.learn(windows[used[i : i + 64]], y[used[i : i + 64]])
+    scaled(net, net.logits(windows[held]), y[held], np.ones(len(held)))
     return net
 
 
+def scaled(net: Network, z: np.ndarray, t: np.ndarray, weight: np.ndarray) -> None:
+    """Sets scale, shift and threshold by outputs of examples that were not learned from, and what they are."""
+    net.scale, net.shift, net.threshold = 1.0, 0.0, 0.5
+    if not weight.sum():
+        return
+    weight = weight / weight.sum()
+    spread = max(1.0, float(weight @ z**2) ** 0.5)
+    for _ in range(300):  # logistic calibration
+        error = weight * (1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -30, 30))) - t)
+        net.scale -= 0.1 * float(error @ z) / spread
+        net.shift -= 0.5 * float(error.sum())
+    own = np.flatnonzero((t == 1) & (weight > 0))
+    if len(own):
+        own = own[np.argsort(z[own], kind="stable")]
+        below = np.cumsum(weight[own]) / weight[own].sum()
+        least = z[own[np.searchsorted(below, 1 - RECALL + 1e-9, "right")]]
+        net.threshold = float(1 / (1 + np.exp(-np.clip(net.scale * least + net.shift, -40, 40))))
+
+
 def _kinds(rng: np.random.Generator) -> tuple:
     """Makers of secrets and of harmless look-alikes, of a number within bounds, of a word."""
     pick = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
@@ -312,36 +424,159 @@ def labelled_parts(runs: list[tuple[str, int, int, int, int]]) -> tuple[list[np.
     return windows, y
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, spans_per_text: int = SPANS_PER_TEXT, words_per_text: int = WORDS_PER_TEXT) -> Network:
-    """The sample is taken by the hash of the id; only candidates' windows leave the executors."""
-    rows = id_text(docs, id_col, text_col)
-    chosen = F.broadcast(hashed_sample(rows.select("doc_id").filter("doc_id is not null"), "doc_id", sample_rows).distinct())
+def lessons(text: str) -> Iterator[tuple[int, int, int]]:
+    """Every part to learn from: start, end, and 1 for what the patterns find, 0 for other candidates, -1 for words outside both."""
+    spans = base_spans(text)
+    others = candidates(text, spans)
+    for s, e, _ in spans:
+        yield from ((*part, 1) for part in parts(s, e))
+    for s, e in others:
+        yield from ((*part, 0) for part in parts(s, e))
+    taken = sorted([*((s, e) for s, e, _ in spans), *others]) if spans or others else []
+    at, reach = 0, 0
+    for m in WORDS.finditer(text):
+        begin, end = m.span()
+        while at < len(taken) and taken[at][0] < end:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= begin:
+            if end - begin <= INSIDE:
+                yield begin, end, -1
+            else:
+                yield from ((*part, -1) for part in parts(begin, end))
+
+
+def taught(text: str, first: Network) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of the parts, some thousands at a time, and whether they count as secrets."""
+    some: list[tuple[int, int, int]] = []
+
+    def made():
+        windows, kind = windows_of(text, [x[:2] for x in some]), np.array([x[2] for x in some])
+        some.clear()
+        # no pattern found them, but they may well be secrets: they teach nothing
+        unsure = np.flatnonzero(kind == 0)
+        if len(unsure):
+            unsure = unsure[first.probability(windows[unsure]) >= first.threshold]
+            windows, kind = np.delete(windows, unsure, 0), np.delete(kind, unsure)
+        return windows, kind == 1
+
+    for x in lessons(text):
+        if some and (len(some) == 4096 or not -(1 << 20) < x[0] - some[0][0] < 1 << 20):
+            yield made()
+        some.append(x)
+    if some:
+        yield made()
+
+
+class Shard:
+    """Learns from the parts that it is given, in their order."""
+
+    def __init__(self, unit: int, first: Network, made: np.ndarray, y: np.ndarray):
+        self.unit, self.first, self.made, self.y = unit, first, made, y
+        self.descent = Descent(dataclasses.replace(first), RATE)
+        self.order = np.random.default_rng(unit).permutation(len(y))
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = self.n_waiting = self.at = 0
+        self.seen = np.zeros((2, BINS), np.int64)
+
+    def add(self, text: str) -> None:
+        for lesson in taught(text, self.first):
+            self.waiting.append(lesson)
+            self.n_waiting += len(lesson[1])
+            if self.n_waiting >= STEP:
+                self._learn(self.n_waiting // STEP * STEP)
+
+    def _learn(self, n: int) -> None:
+        windows, y = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting, self.n_waiting = [(windows[n:], y[n:])], len(y) - n
+        for i in range(0, n, STEP):
+            again = self.order.take(range(self.at, self.at + REPLAY), mode="wrap")
+            self.at += REPLAY
+            own = y[i : min(n, i + STEP)]
+            z = self.descent.learn(np.concatenate([windows[i : i + len(own)], self.made[again]]), np.concatenate([own, self.y[again]]).astype(np.float32))
+            bins = np.clip(np.floor(z[: len(own)] * SCALE).astype(np.int64) + BINS // 2, 0, BINS - 1)
+            np.add.at(self.seen, (own.astype(int), bins), 1)
+            self.n += len(own)
+
+    def message(self) -> pa.RecordBatch:
+        if self.n_waiting:
+            self._learn(self.n_waiting)
+        return _message(self.unit, _flat(self.descent.net) - _flat(self.first), self.n, self.seen)
+
+
+_WEIGHTS = ("kernel", "bias", "out", "out_bias")
+_MESSAGE = "unit int, change binary, n bigint, seen binary"
+
+
+def _flat(net: Network) -> np.ndarray:
+    return np.concatenate([np.ravel(getattr(net, name)) for name in _WEIGHTS]).astype(np.float64)
+
+
+def _moved(net: Network, change: np.ndarray) -> Network:
+    out = dataclasses.replace(net)
+    for name in _WEIGHTS:
+        old = np.asarray(getattr(net, name))
+        part, change = change[: old.size], change[old.size :]
+        setattr(out, name, (old + part.reshape(old.shape)).astype(np.float32) if old.ndim else float(old + part[0]))
+    return out
 
-    def least(found: list[tuple], text: str, n: int) -> list[tuple]:
-        return sorted(found, key=lambda x: (crc32(f"{x[0]}:".encode() + text[x[0] : x[1]].encode()), x))[:n]
 
-    def run(batches):
-        for batch in batches:
-            windows, labels = [], []
-            for text in batch.column(1).to_pylist():
-                spans = base_spans(text)
-                own = [(*part, 1) for s, e, _ in spans for part in parts(s, e)] + [(*part, 0) for s, e in candidates(text, spans) for part in parts(s, e)]
-                words = least([(m.start(), m.end(), 0) for m in re.finditer(r"[^\W\d_]{8,}", text)], text, words_per_text)
-                for s, e, label in least(own, text, spans_per_text) + [(*part, label) for s, e, label in words for part in parts(s, e)[:1]]:
-                    windows.append(window(text, s, e).tolist())
-                    labels.append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.list_(pa.int16())), pa.array(labels, pa.int32())], ["w", "y"])
-
-    got = one_text(rows.join(chosen, "doc_id"), ["doc_id"]).mapInArrow(run, "w array<smallint>, y int").collect()
-    got = sorted((tuple(r.w), r.y) for r in got)
+def _message(unit: int, change: np.ndarray, n: int, seen: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"unit": pa.array([unit], pa.int32()), "change": [change.tobytes()], "n": pa.array([n], pa.int64()), "seen": [seen.tobytes()]})
+
+
+def _averaged(key: tuple, rows: pa.Table) -> pa.Table:
+    total, n, seen = 0.0, 0, 0
+    for r in rows.sort_by("unit").to_pylist():
+        total = total + np.frombuffer(r["change"]) * r["n"]
+        n += r["n"]
+        seen = seen + np.frombuffer(r["seen"], np.int64)
+    return pa.Table.from_batches([_message(key[0].as_py(), total / max(1, n), n, seen)])
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Network:
+    """Only the shards' changes of the weights and their histograms leave the executors."""
     made, y = (np.array(x) for x in examples())
-    if not got:
-        return fit(made.astype(np.int16), y.astype(np.float32))
-    windows, labels = np.array([w for w, _ in got], np.int16), np.array([label for _, label in got])
-    # no pattern found them, but they may well be secrets: they teach nothing
-    first = fit(made.astype(np.int16), y.astype(np.float32), epochs=FIRST_EPOCHS)
-    use = (labels == 1) | (first.probability(windows) < first.threshold)
-    return fit(np.concatenate([windows[use], made]).astype(np.int16), np.concatenate([labels[use], y]).astype(np.float32))
+    made, y = made.astype(np.int16), y.astype(np.float32)
+    first = fit(made, y)
+    held, used = kept_out(len(y))
+    rows = id_text(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if not size:
+        return first
+    units = max(1, size // shard_bytes)
+    tasks = min(units, MOST_TASKS)
+    hashed = rows.select(F.xxhash64("doc_id", "text", F.lit(10)).alias("h"), "text").withColumn("unit", F.pmod(F.shiftright("h", 8), F.lit(units)).cast("int"))
+    dealt = hashed.withColumn("task", F.col("unit") % tasks).repartitionById(tasks, "task").sortWithinPartitions("unit", "h", "text").select("unit", "text")
+    shared = docs.sparkSession.sparkContext.broadcast((first, made[used], y[used]))
+
+    def run(batches):
+        shard = None
+        for batch in slices(batches):
+            for unit, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if shard is None or shard.unit != unit:
+                    if shard is not None:
+                        yield shard.message()
+                    shard = Shard(unit, *shared.value)
+                shard.add(text.as_py())
+        if shard is not None:
+            yield shard.message()
+
+    changes = dealt.mapInArrow(run, _MESSAGE)
+    while units > 1:
+        units = -(-units // FAN)
+        changes = changes.withColumn("into", F.col("unit") % units).groupBy("into").applyInArrow(_averaged, _MESSAGE)
+    got = changes.first()
+    shared.destroy()
+    if got is None or not got.n:
+        return first
+    net = _moved(first, np.frombuffer(got.change))
+    seen = np.frombuffer(got.seen, np.int64).reshape(2, BINS)
+    z, t = net.logits(made[held]), y[held]
+    few = [min(1.0, (t == label).sum() / max(1, seen[label].sum())) for label in (0, 1)]
+    lower = (np.arange(BINS) - BINS // 2) / SCALE
+    scaled(net, np.concatenate([z, lower, lower]), np.concatenate([t, np.zeros(BINS), np.ones(BINS)]), np.concatenate([np.ones(len(t)), seen[0] * few[0], seen[1] * few[1]]))
+    return net
 
 
 def examples() -> tuple[list[np.ndarray], list[int]]:
