@@ -137,6 +137,11 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+_AT, _SIZES = np.arange(WIDTH), np.arange(INSIDE + 1)[:, None]
+_INSIDE = np.where((_AT >= BEFORE) & (_AT < BEFORE + _SIZES), 129, 0).astype(np.int16)
+_BEYOND = _AT >= BEFORE + _SIZES + AFTER
+
+
 def windows_of(text: str, found: list[tuple[int, int]]) -> np.ndarray:
     """As window() of each of the parts, which are near each other in the text."""
     first, last = min(s for s, _ in found), max(e for _, e in found)
@@ -145,11 +150,10 @@ def windows_of(text: str, found: list[tuple[int, int]]) -> np.ndarray:
     codes = np.full(BEFORE + len(piece) // 4 + WIDTH, -1, np.int16)
     codes[BEFORE : BEFORE + len(piece) // 4] = np.minimum(np.frombuffer(piece, np.uint32), 128)
     span = np.array(found)
-    size = (span[:, 1] - span[:, 0])[:, None]
-    at = np.arange(WIDTH)
-    out = codes[span[:, :1] - begin + at]
-    out[at >= BEFORE + size + AFTER] = -1
-    out[(at >= BEFORE) & (at < BEFORE + size)] += 129
+    size = span[:, 1] - span[:, 0]
+    out = np.lib.stride_tricks.sliding_window_view(codes, WIDTH)[span[:, 0] - begin]
+    out += _INSIDE[size]
+    np.putmask(out, _BEYOND[size], -1)
     return out
 
 
@@ -220,7 +224,8 @@ class Network:
 
 
 _INPUTS = _input(np.arange(-1, 258)).astype(np.float32)
-_SHORT = 16
+_HUGE = np.float32(1e30)
+CACHED, CACHED_ROWS = 32, 256  # windows, and rows of gradients, that are worked on at a time
 
 
 class Descent:
@@ -242,62 +247,67 @@ class Descent:
 
 
 def gradients(net: Network, windows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Outputs, and the gradients of the mean loss. Windows of short parts are cut where nothing but padding follows."""
-    size = (windows >= 129).sum(1)
-    z, total = np.zeros(len(y)), None
-    for rows in (np.flatnonzero(size <= _SHORT), np.flatnonzero(size > _SHORT)):
-        if len(rows):
-            width = min(WIDTH, BEFORE + int(size[rows].max()) + AFTER + 5)
-            z[rows], grads = _gradients(net, windows[rows, :width], y[rows], len(y))
-            total = grads if total is None else {k: total[k] + g for k, g in grads.items()}
-    return z, total
-
-
-def _gradients(net: Network, windows: np.ndarray, y: np.ndarray, of_all: int) -> tuple[np.ndarray, dict]:
-    n, width = windows.shape
-    filters, places = len(net.bias), WIDTH - 4
-    rest = WIDTH - width  # positions cut off, where the input is zero
-    idle = np.maximum(net.bias, 0)
-    codes = windows.astype(np.intp).ravel() + 1
+    """Outputs, and the gradients of the mean loss. Windows go by the size of their parts, a few at a time, cut where nothing but padding follows."""
+    size = (windows[:, BEFORE : BEFORE + INSIDE] >= 129).view(np.uint8).sum(1, dtype=np.uint8)
+    by_size = size.argsort(kind="stable")
+    windows, y, size = windows[by_size], y[by_size], size[by_size]
+    n, filters, places = len(y), len(net.bias), WIDTH - 4
     table = _INPUTS @ net.kernel.reshape(5, CHANNELS, filters)
-    a = table[0].take(codes, 0)
-    more = np.empty_like(a)
-    for k in range(1, 5):
-        np.take(table[k], codes, axis=0, out=more, mode="clip")
-        a[:-k] += more[k:]
-    a += net.bias
-    np.maximum(a, 0, out=a)
-    a = a.reshape(n, width, filters)
-    a[:, width - 4 :] = 0  # these reach into the next window
-    top, left = a, width
-    while left > 1:
-        half = (left + 1) // 2
-        top, left = np.maximum(top[:, :half], top[:, left - half :]), half
-    top = top[:, 0]
-    total = (np.ones((1, width), np.float32) @ a)[:, 0]
-    pooled = np.concatenate([top, (total + rest * idle) / np.float32(places)], 1)
-    z = pooled @ net.out + net.out_bias
-    g = (((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y) / of_all).astype(np.float32)
-    g_pool = g[:, None] * net.out[None, :].astype(np.float32)
-    g_mean = g_pool[:, filters:] / np.float32(places)
-    is_top = a == top[:, None, :]
-    back = np.zeros((n * width + 4, filters), np.float32)  # four rows of zeros go before
-    g_a = back[4:].reshape(n, width, filters)
-    ties = is_top.view(np.uint8).sum(1, dtype=np.uint8).astype(np.float32)
-    np.multiply(is_top, (g_pool[:, :filters] / ties)[:, None, :], out=g_a)
-    g_a += g_mean[:, None, :]
-    g_a *= a > 0
+    table[0] += net.bias
+    idle, out, bias = np.maximum(net.bias, 0), net.out.astype(np.float32), np.zeros(filters, np.float32)
+    z, pooled, g = np.zeros(n), np.zeros((n, 2 * filters), np.float32), np.zeros(n, np.float32)
+    cuts = [(i, min(n, i + CACHED)) for i in range(0, n, CACHED)]
+    widths = [min(WIDTH, BEFORE + int(size[j - 1]) + AFTER + 5) for _, j in cuts]
+    rows = sum((j - i) * width for (i, j), width in zip(cuts, widths))
+    back = np.zeros((rows + 4, filters), np.float32)  # four rows of zeros go before
+    short, at = np.zeros(rows, np.uint16), 0
+    for (i, j), width in zip(cuts, widths):
+        some, rest = slice(i, j), WIDTH - width  # positions cut off, where the input is zero
+        codes = windows[some, :width].astype(np.intp).ravel() + 1
+        a = table[0].take(codes, 0)
+        for k in range(1, 5):
+            a[:-k] += table[k].take(codes[k:], 0)
+        np.maximum(a, 0, out=a)
+        a = a.reshape(-1, width, filters)
+        a[:, width - 4 :] = 0  # these reach into the next window
+        every, top, left = np.ones((1, width), np.float32), a, width
+        while left > 1:
+            half = (left + 1) // 2
+            top, left = np.maximum(top[:, :half], top[:, left - half :]), half
+        pooled[some, :filters] = top[:, 0]
+        pooled[some, filters:] = ((every @ a)[:, 0] + rest * idle) / np.float32(places)
+        z[some] = pooled[some] @ out + net.out_bias
+        g[some] = ((1 / (1 + np.exp(-np.clip(z[some], -30, 30)))) - y[some]) / n
+        g_pool = g[some, None] * out
+        # 1 where the maximum is, and where anything is, else 0: in floats, which is faster than by comparing
+        share = a - top
+        share *= _HUGE
+        np.maximum(share, -1, out=share)
+        share += 1
+        share *= (g_pool[:, :filters] / (every @ share)[:, 0])[:, None, :]
+        share += (g_pool[:, filters:] / np.float32(places))[:, None, :]
+        a *= _HUGE
+        np.minimum(a, 1, out=a)
+        np.multiply(share, a, out=back[4 + at : 4 + at + len(codes)].reshape(-1, width, filters))
+        bias += rest / np.float32(places) * (g[some].sum() * out[filters:]) * (net.bias > 0)
+        short[at : at + len(codes)] = codes
+        at += len(codes)
     # what meets a code at any of the five places lies side by side; equal codes are added up
-    beside = np.lib.stride_tricks.as_strided(back, (n * width, 5 * filters), (4 * filters, 4))
-    short = codes.astype(np.uint16)
+    beside = np.ndarray(rows, f"V{20 * filters}", back, 0, (4 * filters,))
     order = short.argsort(kind="stable")
     short = short[order]
     first = np.flatnonzero(np.r_[True, short[1:] != short[:-1]])
-    one = np.ones(len(order), np.float32)
-    by_code = np.array([one[i:j] @ beside[order[i:j]] for i, j in zip(first, [*first[1:], len(order)])])
+    one = np.ones(CACHED_ROWS, np.float32)
+    by_code = np.zeros((len(first), 5 * filters), np.float32)
+    for to, begin, end in zip(by_code, first.tolist(), [*first[1:].tolist(), len(order)]):
+        for i in range(begin, end, CACHED_ROWS):
+            equal = beside[order[i : min(end, i + CACHED_ROWS)]].view(np.float32).reshape(-1, 5 * filters)
+            to += one[: len(equal)] @ equal
     kernel = (_INPUTS[short[first]].T @ by_code).reshape(CHANNELS, 5, filters).transpose(1, 0, 2)[::-1]
-    bias = by_code[:, 4 * filters :].sum(0) + rest * g_mean.sum(0) * (net.bias > 0)
-    return z, {"kernel": kernel.reshape(5 * CHANNELS, filters), "bias": bias, "out": pooled.T @ g, "out_bias": g.sum()}
+    bias += by_code[:, 4 * filters :].sum(0)
+    outputs = np.empty(n)
+    outputs[by_size] = z
+    return outputs, {"kernel": kernel.reshape(5 * CHANNELS, filters), "bias": bias, "out": pooled.T @ g, "out_bias": g.sum()}
 
 
 def kept_out(n: int) -> tuple[np.ndarray, np.ndarray]:
