@@ -58,18 +58,63 @@ SCALE, BINS = 16, 2048  # of the histograms of outputs, from -BINS / 2 / SCALE
 FAN = 32  # messages that are averaged at a time
 BEFORE, INSIDE, AFTER, STRIDE = 24, 40, 24, 20
 WIDTH = BEFORE + INSIDE + AFTER
-_DIGITS = re.compile(r"[0-9]")
 _SPECIAL = "+/_=.-:\"' \n@#<>(){}[],;|&?!%$*\\"
 CHANNELS = 26 + 1 + len(_SPECIAL) + 1 + 3
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and kind of what the patterns find, in order."""
-    found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8] if ("=" in text or ":" in text) else []
+_KEYWORDS = ("passw", "secret", "token", "api")  # lower() of what ASSIGN finds holds one
+_LETTER, _RUN = 1, 2
+
+
+def _classes() -> np.ndarray:
+    """Of each code point, whether it is in a word of WORDS, and in a RUN."""
+    out = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, range(0x110000)))
+    for m in re.finditer(r"[^\W\d_]+", every):
+        out[m.start() : m.end()] |= _LETTER
+    for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", every[:128]):
+        out[m.start() : m.end()] |= _RUN
+    return out
+
+
+_class_of: list[np.ndarray] = []
+
+
+class Scan:
+    """Codes of a text, and where its runs and words are."""
+
+    def __init__(self, text: str):
+        if not _class_of:
+            _class_of.append(_classes())
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.classes = np.zeros(len(self.codes) + 2, np.uint8)
+        _class_of[0].take(self.codes, out=self.classes[1:-1], mode="clip")
+
+    def of(self, kind: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the longest stretches of a class, of at least so many characters."""
+        on = self.classes & kind
+        edges = np.flatnonzero(on[1:] != on[:-1])
+        begin, end = edges[::2], edges[1::2]
+        enough = np.flatnonzero(end - begin >= least)
+        return begin[enough], end[enough]
+
+    def runs(self) -> list[tuple[int, int]]:
+        begin, end = self.of(_RUN, LEAST)
+        return list(zip(begin.tolist(), end.tolist()))
+
+
+def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str]]:
+    """Start, end and kind of what the patterns find, in order. runs: those of the text, if known."""
+    found = []
+    if "=" in text or ":" in text:
+        lower = text.lower()
+        if any(map(lower.__contains__, _KEYWORDS)):
+            found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    if _DIGITS.search(text) or len(text) >= 32:
-        found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    for begin, end in [(0, len(text))] if runs is None else runs:
+        if end - begin >= 32:
+            found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text, begin, end)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -80,11 +125,10 @@ def mixed(run: str) -> bool:
     return letters and digits or sum(a.islower() and b.isupper() for a, b in zip(run, run[1:])) >= 2
 
 
-def candidates(text: str, spans: list[tuple[int, int, str]] = ()) -> list[tuple[int, int]]:
-    """Runs, or what the spans (by start) leave of them."""
+def candidates(text: str, spans: list[tuple[int, int, str]] = (), runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Runs (those given, if known), or what the spans (by start) leave of them."""
     out, at, reach = [], 0, 0  # the spans before `at` end at `reach`
-    for m in RUN.finditer(text):
-        begin, end = m.span()
+    for begin, end in (m.span() for m in RUN.finditer(text)) if runs is None else runs:
         while begin < end:
             while at < len(spans) and spans[at][0] <= begin:
                 reach = max(reach, spans[at][1])
@@ -142,18 +186,17 @@ _INSIDE = np.where((_AT >= BEFORE) & (_AT < BEFORE + _SIZES), 129, 0).astype(np.
 _BEYOND = _AT >= BEFORE + _SIZES + AFTER
 
 
-def windows_of(text: str, found: list[tuple[int, int]]) -> np.ndarray:
-    """As window() of each of the parts, which are near each other in the text."""
-    first, last = min(s for s, _ in found), max(e for _, e in found)
-    begin = max(0, first - BEFORE)
-    piece = text[begin : last + AFTER].encode("utf-32-le", "surrogatepass")
-    codes = np.full(BEFORE + len(piece) // 4 + WIDTH, -1, np.int16)
-    codes[BEFORE : BEFORE + len(piece) // 4] = np.minimum(np.frombuffer(piece, np.uint32), 128)
+def windows_of(text: str, found: list[tuple[int, int]], codes: np.ndarray | None = None) -> np.ndarray:
+    """As window() of each of the parts, which are near each other in the text. codes: those of the text, if known."""
     span = np.array(found)
+    begin, end = max(0, int(span[:, 0].min()) - BEFORE), int(span[:, 1].max()) + AFTER
+    piece = np.frombuffer(text[begin:end].encode("utf-32-le", "surrogatepass"), np.uint32) if codes is None else codes[begin:end]
+    padded = np.full(BEFORE + len(piece) + WIDTH, -1, np.int16)
+    np.minimum(piece, 128, out=padded[BEFORE : BEFORE + len(piece)], casting="unsafe")
     size = span[:, 1] - span[:, 0]
-    out = np.lib.stride_tricks.sliding_window_view(codes, WIDTH)[span[:, 0] - begin]
-    out += _INSIDE[size]
-    np.putmask(out, _BEYOND[size], -1)
+    out = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[span[:, 0] - begin]
+    out += _INSIDE.take(size, 0)
+    np.putmask(out, _BEYOND.take(size, 0), -1)
     return out
 
 
@@ -225,7 +268,8 @@ class Network:
 
 _INPUTS = _input(np.arange(-1, 258)).astype(np.float32)
 _HUGE = np.float32(1e30)
-CACHED, CACHED_ROWS = 32, 256  # windows, and rows of gradients, that are worked on at a time
+CACHED = 64  # windows that are worked on at a time
+TOGETHER, BUNDLES = 32, 8  # rows of gradients that are added up at once, and how many times that are fetched
 
 
 class Descent:
@@ -241,72 +285,105 @@ class Descent:
         self.step += 1
         for name, grad in grads.items():
             m = self.state.setdefault(name, [0, 0])
-            m[0], m[1] = 0.9 * m[0] + 0.1 * grad, 0.99 * m[1] + 0.01 * grad**2
+            m[0], m[1] = 0.9 * m[0] + 0.1 * grad, 0.99 * m[1] + 0.01 * (grad * grad)
             setattr(self.net, name, getattr(self.net, name) - self.rate * (m[0] / (1 - 0.9**self.step)) / (np.sqrt(m[1] / (1 - 0.99**self.step)) + 1e-6))
         return z
 
 
+_rooms: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, rows: int, columns: int) -> np.ndarray:
+    """Memory that is kept: what is freed after each step goes back to the system, and is slow to get again."""
+    if len(_rooms.get(name, ())) < rows * columns:
+        _rooms[name] = np.empty(rows * columns * 5 // 4, np.float32)
+    return _rooms[name][: rows * columns].reshape(rows, columns)
+
+
 def gradients(net: Network, windows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Outputs, and the gradients of the mean loss. Windows go by the size of their parts, a few at a time, cut where nothing but padding follows."""
+    """Outputs, and the gradients of the mean loss. Windows go by the size of their parts, CACHED at a time, cut where nothing but padding follows.
+
+    A line holds the same place of CACHED windows, so that what is done for all places runs over whole lines.
+    """
     size = (windows[:, BEFORE : BEFORE + INSIDE] >= 129).view(np.uint8).sum(1, dtype=np.uint8)
     by_size = size.argsort(kind="stable")
-    windows, y, size = windows[by_size], y[by_size], size[by_size]
     n, filters, places = len(y), len(net.bias), WIDTH - 4
+    full = -(-n // CACHED) * CACHED
+    windows, size = windows[by_size], size[by_size]
+    if full > n:  # windows of padding fill the last lines, with no gradient
+        windows = np.concatenate([windows, np.full((full - n, WIDTH), -1, windows.dtype)])
+    goal = np.zeros(full)
+    goal[:n] = y[by_size]
     table = _INPUTS @ net.kernel.reshape(5, CHANNELS, filters)
     table[0] += net.bias
     idle, out, bias = np.maximum(net.bias, 0), net.out.astype(np.float32), np.zeros(filters, np.float32)
-    z, pooled, g = np.zeros(n), np.zeros((n, 2 * filters), np.float32), np.zeros(n, np.float32)
-    cuts = [(i, min(n, i + CACHED)) for i in range(0, n, CACHED)]
-    widths = [min(WIDTH, BEFORE + int(size[j - 1]) + AFTER + 5) for _, j in cuts]
-    rows = sum((j - i) * width for (i, j), width in zip(cuts, widths))
-    back = np.zeros((rows + 4, filters), np.float32)  # four rows of zeros go before
-    short, at = np.zeros(rows, np.uint16), 0
-    for (i, j), width in zip(cuts, widths):
-        some, rest = slice(i, j), WIDTH - width  # positions cut off, where the input is zero
-        codes = windows[some, :width].astype(np.intp).ravel() + 1
-        a = table[0].take(codes, 0)
+    z, pooled, g = np.zeros(full), np.zeros((full, 2 * filters), np.float32), np.zeros(full, np.float32)
+    cuts = range(0, full, CACHED)
+    widths = [min(WIDTH, BEFORE + int(size[min(n, i + CACHED) - 1]) + AFTER + 5) for i in cuts]
+    rows = 5 + sum(widths) * CACHED  # five of zeros, and four after the places of each window
+    back = _room("back", rows, filters)
+    back[:5] = 0
+    short = np.empty(rows - 5, np.uint16)
+    one = np.ones(max(WIDTH, TOGETHER), np.float32)
+    a, more = _room("active", places * CACHED, filters), _room("more", places * CACHED, filters)
+    row = 5
+    for i, width in zip(cuts, widths):
+        some, rest, held = slice(i, i + CACHED), WIDTH - width, width - 4  # rest: positions cut off, where the input is zero
+        until = row + width * CACHED
+        codes = short[row - 5 : until - 5].reshape(CACHED, width)
+        np.add(windows[some, :width], 1, out=codes, casting="unsafe")
+        at = codes.T.astype(np.intp, order="C").ravel()
+        act, term = a[: held * CACHED], more[: held * CACHED]
+        table[0].take(at[: held * CACHED], 0, out=act, mode="clip")
         for k in range(1, 5):
-            a[:-k] += table[k].take(codes[k:], 0)
-        np.maximum(a, 0, out=a)
-        a = a.reshape(-1, width, filters)
-        a[:, width - 4 :] = 0  # these reach into the next window
-        every, top, left = np.ones((1, width), np.float32), a, width
-        while left > 1:
-            half = (left + 1) // 2
-            top, left = np.maximum(top[:, :half], top[:, left - half :]), half
-        pooled[some, :filters] = top[:, 0]
-        pooled[some, filters:] = ((every @ a)[:, 0] + rest * idle) / np.float32(places)
+            table[k].take(at[k * CACHED : (k + held) * CACHED], 0, out=term, mode="clip")
+            act += term
+        act = act.reshape(held, CACHED * filters)
+        np.maximum(act, 0, out=act)
+        top = act.max(0)
+        pooled[some, :filters] = top.reshape(CACHED, filters)
+        pooled[some, filters:] = ((one[:held] @ act).reshape(CACHED, filters) + rest * idle) / np.float32(places)
         z[some] = pooled[some] @ out + net.out_bias
-        g[some] = ((1 / (1 + np.exp(-np.clip(z[some], -30, 30)))) - y[some]) / n
+        g[some] = ((1 / (1 + np.exp(-np.clip(z[some], -30, 30)))) - goal[some]) / n
+        if i + CACHED > n:
+            g[n:] = 0
         g_pool = g[some, None] * out
-        # 1 where the maximum is, and where anything is, else 0: in floats, which is faster than by comparing
-        share = a - top
-        share *= _HUGE
-        np.maximum(share, -1, out=share)
-        share += 1
-        share *= (g_pool[:, :filters] / (every @ share)[:, 0])[:, None, :]
-        share += (g_pool[:, filters:] / np.float32(places))[:, None, :]
-        a *= _HUGE
-        np.minimum(a, 1, out=a)
-        np.multiply(share, a, out=back[4 + at : 4 + at + len(codes)].reshape(-1, width, filters))
-        bias += rest / np.float32(places) * (g[some].sum() * out[filters:]) * (net.bias > 0)
-        short[at : at + len(codes)] = codes
-        at += len(codes)
-    # what meets a code at any of the five places lies side by side; equal codes are added up
-    beside = np.ndarray(rows, f"V{20 * filters}", back, 0, (4 * filters,))
+        top[top <= 0] = np.inf  # nothing there to learn from
+        equal = (act == top).reshape(-1, 8)  # eight at a time, of which few hold any
+        hits = np.flatnonzero(equal.view(np.uint64).ravel() != 0)
+        one_of = np.flatnonzero(equal[hits])
+        highest = hits[one_of >> 3] * 8 + (one_of & 7)
+        which = highest % top.size
+        ties = np.bincount(which, minlength=top.size)
+        # 1 where anything is, else 0: in floats, which is faster than by comparing
+        act *= _HUGE
+        np.minimum(act, 1, out=act)
+        act *= g_pool[:, filters:].ravel() / np.float32(places)
+        act.reshape(-1)[highest] += (g_pool[:, :filters].ravel() / np.maximum(ties, 1).astype(np.float32))[which]
+        bias += (one[:held] @ act).reshape(CACHED, filters).sum(0) + rest / np.float32(places) * (g[some].sum() * out[filters:]) * (net.bias > 0)
+        own = back[row:until].reshape(CACHED, width, filters)
+        own[:, :held] = act.reshape(held, CACHED, filters).transpose(1, 0, 2)
+        own[:, held:] = 0
+        row = until
+    # What meets a code at any of the five places lies side by side. Equal codes are added up, TOGETHER at a time; zeros fill the last ones. Padding has no input.
+    beside = np.ndarray(rows - 4, f"V{20 * filters}", back, 0, (4 * filters,))
     order = short.argsort(kind="stable")
-    short = short[order]
-    first = np.flatnonzero(np.r_[True, short[1:] != short[:-1]])
-    one = np.ones(CACHED_ROWS, np.float32)
-    by_code = np.zeros((len(first), 5 * filters), np.float32)
-    for to, begin, end in zip(by_code, first.tolist(), [*first[1:].tolist(), len(order)]):
-        for i in range(begin, end, CACHED_ROWS):
-            equal = beside[order[i : min(end, i + CACHED_ROWS)]].view(np.float32).reshape(-1, 5 * filters)
-            to += one[: len(equal)] @ equal
-    kernel = (_INPUTS[short[first]].T @ by_code).reshape(CHANNELS, 5, filters).transpose(1, 0, 2)[::-1]
-    bias += by_code[:, 4 * filters :].sum(0)
+    counts = np.bincount(short, minlength=len(_INPUTS))
+    order, counts[0] = order[counts[0] :], 0
+    bundles = -(-counts // TOGETHER)
+    ends = np.cumsum(bundles)
+    at = np.zeros(ends[-1] * TOGETHER, np.intp)
+    at[np.arange(len(order)) + np.repeat((ends - bundles) * TOGETHER - (np.cumsum(counts) - counts), counts)] = order + 1
+    at = at.reshape(-1, TOGETHER)
+    sums = _room("sums", len(at), 5 * filters)
+    for i in range(0, len(at), BUNDLES):
+        equal = beside[at[i : i + BUNDLES].T.ravel()].view(np.float32).reshape(TOGETHER, -1)
+        sums[i : i + BUNDLES] = (one[:TOGETHER] @ equal).reshape(-1, 5 * filters)
+    seen = counts.nonzero()[0]
+    by_code = np.add.reduceat(sums, (ends - bundles)[seen], axis=0)
+    kernel = (_INPUTS[seen].T @ by_code).reshape(CHANNELS, 5, filters).transpose(1, 0, 2)[::-1]
     outputs = np.empty(n)
-    outputs[by_size] = z
+    outputs[by_size] = z[:n]
     return outputs, {"kernel": kernel.reshape(5 * CHANNELS, filters), "bias": bias, "out": pooled.T @ g, "out_bias": g.sum()}
 
 
@@ -436,46 +513,46 @@ def labelled_parts(runs: list[tuple[str, int, int, int, int]]) -> tuple[list[np.
 
 def lessons(text: str) -> Iterator[tuple[int, int, int]]:
     """Every part to learn from: start, end, and 1 for what the patterns find, 0 for other candidates, -1 for words outside both."""
-    spans = base_spans(text)
-    others = candidates(text, spans)
-    for s, e, _ in spans:
-        yield from ((*part, 1) for part in parts(s, e))
-    for s, e in others:
-        yield from ((*part, 0) for part in parts(s, e))
-    taken = sorted([*((s, e) for s, e, _ in spans), *others]) if spans or others else []
-    at, reach = 0, 0
-    for m in WORDS.finditer(text):
-        begin, end = m.span()
-        while at < len(taken) and taken[at][0] < end:
-            reach = max(reach, taken[at][1])
-            at += 1
-        if reach <= begin:
-            if end - begin <= INSIDE:
-                yield begin, end, -1
-            else:
-                yield from ((*part, -1) for part in parts(begin, end))
+    return map(tuple, _lessons(text, Scan(text)).tolist())
+
+
+def _lessons(text: str, scan: Scan) -> np.ndarray:
+    runs = scan.runs()
+    spans = base_spans(text, runs)
+    others = candidates(text, spans, runs)
+    found = [(*part, 1) for s, e, _ in spans for part in parts(s, e)] + [(*part, 0) for s, e in others for part in parts(s, e)]
+    begin, end = scan.of(_LETTER, 8)
+    if found:
+        taken = np.array(sorted([*((s, e) for s, e, _ in spans), *others]))
+        reach = np.r_[0, np.maximum.accumulate(taken[:, 1])]
+        free = reach[np.searchsorted(taken[:, 0], end)] <= begin
+        begin, end = begin[free], end[free]
+    if len(begin) and (end - begin).max() > INSIDE:
+        words = np.array([part for word in zip(begin.tolist(), end.tolist()) for part in parts(*word)])
+        begin, end = words[:, 0], words[:, 1]
+    words = np.full((len(begin), 3), -1)
+    words[:, 0], words[:, 1] = begin, end
+    return np.concatenate([np.array(found), words]) if found else words
 
 
 def taught(text: str, first: Network) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Windows of the parts, some thousands at a time, and whether they count as secrets."""
-    some: list[tuple[int, int, int]] = []
-
-    def made():
-        windows, kind = windows_of(text, [x[:2] for x in some]), np.array([x[2] for x in some])
-        some.clear()
+    scan = Scan(text)
+    every = _lessons(text, scan)
+    at = 0
+    while at < len(every):
+        some = every[at : at + 4096]
+        far = np.flatnonzero(np.abs(some[:, 0] - some[0, 0]) >= 1 << 20)
+        if len(far):
+            some = some[: far[0]]
+        at += len(some)
+        windows, kind = windows_of(text, some[:, :2], scan.codes), some[:, 2]
         # no pattern found them, but they may well be secrets: they teach nothing
         unsure = np.flatnonzero(kind == 0)
         if len(unsure):
             unsure = unsure[first.probability(windows[unsure]) >= first.threshold]
             windows, kind = np.delete(windows, unsure, 0), np.delete(kind, unsure)
-        return windows, kind == 1
-
-    for x in lessons(text):
-        if some and (len(some) == 4096 or not -(1 << 20) < x[0] - some[0][0] < 1 << 20):
-            yield made()
-        some.append(x)
-    if some:
-        yield made()
+        yield windows, kind == 1
 
 
 class Shard:
@@ -505,7 +582,7 @@ class Shard:
             own = y[i : min(n, i + STEP)]
             z = self.descent.learn(np.concatenate([windows[i : i + len(own)], self.made[again]]), np.concatenate([own, self.y[again]]).astype(np.float32))
             bins = np.clip(np.floor(z[: len(own)] * SCALE).astype(np.int64) + BINS // 2, 0, BINS - 1)
-            np.add.at(self.seen, (own.astype(int), bins), 1)
+            np.add.at(self.seen.reshape(-1), own * BINS + bins, 1)
             self.n += len(own)
 
     def message(self) -> pa.RecordBatch:
@@ -612,9 +689,10 @@ def secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
                 batch = whole.slice(at, 1000)
                 base, extra, found = [], [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
-                    spans = base_spans(text)
+                    runs = Scan(text).runs()
+                    spans = base_spans(text, runs)
                     base.append(spans)
-                    for s, e, of_base in [*((s, e, True) for s, e, _ in spans), *((s, e, False) for s, e in candidates(text, spans))]:
+                    for s, e, of_base in [*((s, e, True) for s, e, _ in spans), *((s, e, False) for s, e in candidates(text, spans, runs))]:
                         extra.append((i, s, e, of_base))
                         found.append((text, s, e))
                 p = net.highest(found)
