@@ -154,16 +154,16 @@ class Batch:
             tokens.append(END.encode())
         self.tokens = tokens
         self.index = np.fromiter(map(known.index.get, tokens, repeat(-1)), np.int64, len(tokens))
-        ids = known.ids[self.index]
+        ids = known.ids.take(self.index, mode="wrap")
         others = np.flatnonzero(self.index < 0)
         ids[others] = np.fromiter(map(crc32, map(tokens.__getitem__, others.tolist())), np.uint64, len(others))
         self.sizes = np.diff(np.r_[self.starts, len(tokens)])
-        place = np.arange(len(tokens)) - np.repeat(self.starts, self.sizes)
         back = []
         for k in (1, 2, 3):
-            b = np.full(len(tokens), _START, np.uint64)
-            ok = place >= k
-            b[ok] = ids[np.flatnonzero(ok) - k]
+            b = np.empty(len(tokens), np.uint64)
+            b[k:] = ids[:-k]
+            for place in range(k):
+                b[self.starts[self.sizes > place] + place] = _START
             back.append(b)
         b1, b2, b3 = back
         m = np.uint64(0x9E3779B97F4A7C15)
@@ -175,9 +175,28 @@ class Batch:
         self.within = np.where(vocabulary, self.index % GROUP_SIZE, 0)
 
 
-def _bucket(feature: np.ndarray, extra=0) -> np.ndarray:
-    x = feature + np.asarray(extra, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(49)).astype(np.int64)
+def _bucket(feature: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
+    """extra: from _extra()."""
+    x = feature if extra is None else feature + extra
+    mixed = x >> np.uint64(32)
+    mixed ^= x
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed >>= np.uint64(49)
+    return mixed.view(np.int64)
+
+
+def _extra(number: np.ndarray) -> np.ndarray:
+    return number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+_rooms: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, rows: int, columns: int) -> np.ndarray:
+    """Memory that is kept: what is freed after each step goes back to the system, and is slow to get again."""
+    if len(_rooms.get(name, ())) < rows * columns:
+        _rooms[name] = np.empty(rows * columns, np.float32)
+    return _rooms[name][: rows * columns].reshape(rows, columns)
 
 
 @dataclasses.dataclass
@@ -195,9 +214,9 @@ class Weights:
 
 
 def _logits(table: np.ndarray, at: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
-    """Log-priors plus small weights; the bound only keeps exp() finite."""
-    z = np.take(table, at[0], axis=0, mode="clip")
-    more = np.empty_like(z)
+    """Log-priors plus small weights, in kept memory; the bound only keeps exp() finite."""
+    z, more = (_room(name, len(at[0]), table.shape[1]) for name in ("logits", "more"))
+    np.take(table, at[0], axis=0, out=z, mode="clip")
     for a in at[1:]:
         np.take(table, a, axis=0, out=more, mode="clip")
         z += more
@@ -214,25 +233,31 @@ def _softmax(table: np.ndarray, at: list[np.ndarray], prior: np.ndarray) -> np.n
 
 
 def _descend(table: np.ndarray, at: list[np.ndarray], error: np.ndarray) -> None:
-    """One step: the gradients of all tokens of a bucket are added up; their weight falls with their number, and is RATE for one."""
+    """One step: the gradients of all tokens of a bucket are added up; their weight falls with their number, and is RATE for one. error is changed."""
+    width = table.shape[1]
+    lines = table.view(f"V{4 * width}").ravel()
+    error *= np.float32(RATE)
     for a in at:
         order = a.astype(_BUCKET).argsort(kind="stable")
-        rows = a[order]
+        rows = a.take(order)
         begins = np.ones(len(a) + 1, bool)
         np.not_equal(rows[1:], rows[:-1], out=begins[1:-1])
         first = begins.nonzero()[0]
         n, first = first[1:] - first[:-1], first[:-1]
-        change = np.take(error, order[first], axis=0, mode="clip")
+        change, row = _room("change", len(first), width), _room("row", len(first), width)
+        np.take(error, order.take(first), axis=0, out=change, mode="clip")
         several = (n > 1).nonzero()[0]
         if len(several):
-            m = n[several]
+            m = n.take(several)
             begin = np.cumsum(m) - m
-            tokens = order[np.repeat(first[several] - begin, m) + np.arange(m.sum())]
-            change[several] = np.add.reduceat(np.take(error, tokens, axis=0, mode="clip"), begin, axis=0)
-        change *= (np.float32(2 * RATE) / (n + 1).astype(np.float32))[:, None]
-        row = np.take(table, rows[first], axis=0, mode="clip")
+            tokens = order.take(np.repeat(first.take(several) - begin, m) + np.arange(m.sum()))
+            sums = np.add.reduceat(np.take(error, tokens, axis=0, out=_room("fetched", len(tokens), width), mode="clip"), begin, axis=0)
+            sums *= (np.float32(2) / (m + 1).astype(np.float32))[:, None]
+            change[several] = sums
+        where = rows.take(first)
+        np.take(table, where, axis=0, out=row, mode="clip")
         row -= change
-        table[rows[first]] = row
+        lines[where] = row.view(lines.dtype).ravel()
 
 
 def _levels(w: Weights, known: Common, batch: Batch, cut: slice):
@@ -243,15 +268,17 @@ def _levels(w: Weights, known: Common, batch: Batch, cut: slice):
     if len(inner):
         c, g = c[inner], batch.groups[cut][inner]
         of = [f[cut][inner] for f in batch.features]
-        yield inner, w.groups, [_bucket(f, c + 1) for f in of], known.group_prior[c], g % GROUPS
-        yield inner, w.words, [_bucket(f, g + CLASSES + 1) for f in of], known.word_prior[g], batch.within[cut][inner]
+        extra = _extra(c + 1)
+        yield inner, w.groups, [_bucket(f, extra) for f in of], known.group_prior.take(c, 0), g % GROUPS
+        extra = _extra(g + CLASSES + 1)
+        yield inner, w.words, [_bucket(f, extra) for f in of], known.word_prior.take(g, 0), batch.within[cut][inner]
 
 
 def learn(w: Weights, known: Common, batch: Batch) -> None:
     for i in range(0, len(batch.index), STEP):
         for _, table, at, prior, came in _levels(w, known, batch, slice(i, i + STEP)):
             p = _softmax(table, at, prior)
-            p[np.arange(len(came)), came] -= 1
+            p.reshape(-1)[np.arange(0, p.size, p.shape[1]) + came] -= 1
             _descend(table, at, p)
 
 
@@ -263,7 +290,7 @@ def log10_p(w: Weights, known: Common, batch: Batch) -> np.ndarray:
         part = np.zeros(len(batch.index[cut]))
         for which, table, at, prior, came in _levels(w, known, batch, cut):
             z = _logits(table, at, prior)
-            chosen = z[np.arange(len(came)), came].astype(np.float64)
+            chosen = z.reshape(-1).take(np.arange(0, z.size, z.shape[1]) + came).astype(np.float64)
             np.exp(z, out=z)
             part[which] += np.maximum((chosen - np.log(np.einsum("ij->i", z) + np.float32(1e-30))) / math.log(10), -30)
         part[batch.classes[cut] == CLASSES] -= known.log_rest

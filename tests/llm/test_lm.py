@@ -110,3 +110,50 @@ def test_all_gradients_of_a_bucket_count():
     after = lm.Batch([b"a b", b"a c"], known)
     got = lm.log10_p(w, known, after) - lm.log10_p(lm.Weights.zero(), known, after)
     assert got[1] > 0 and got[1] > got[4]
+
+
+def _known_and_batch():
+    rng = random.Random(4)
+    text = " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(lm.STEP - 1)).encode()
+    counts = Counter(lm.words(text) + [b"\n"])
+    top = sorted(counts, key=lambda w: (-counts[w], w))
+    known = lm.Common(top, np.array([counts[w] for w in top], float), sum(counts.values()), len(counts))
+    return known, lm.Batch([text], known)
+
+
+def test_steps_reuse_their_memory():
+    import tracemalloc
+
+    known, batch = _known_and_batch()
+    w = lm.Weights.zero()
+    lm.learn(w, known, batch)
+    tracemalloc.start()
+    lm.learn(w, known, batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 4 * lm.STEP * (lm.CLASSES + 1)  # bytes of four arrays of a number for each token and class
+
+
+def test_a_step_is_that_of_a_loop():
+    """Features of all sizes one after another: what is kept of an earlier step is not seen in a later one."""
+    rng = np.random.default_rng(6)
+    for n in (500, 3, 1, 200):
+        table = rng.standard_normal((lm.BUCKETS, 33)).astype(np.float32)
+        at = [(rng.pareto(0.5, n) * 3).astype(np.int64) % lm.BUCKETS for _ in range(3)]
+        error = rng.standard_normal((n, 33)).astype(np.float32)
+        want = table.astype(np.float64)
+        for a in at:
+            for bucket in set(a.tolist()):
+                mine = error[a == bucket].astype(np.float64)
+                want[bucket] -= 2 * lm.RATE / (len(mine) + 1) * mine.sum(0)
+        lm._descend(table, at, error)
+        assert np.allclose(table, want, atol=1e-4)
+
+
+def test_histories_begin_with_each_text():
+    known, _ = _known_and_batch()
+    texts = [b"", b"w1", b"w1 w2", b"", b"w1 w2 w3 w4 w5 unseen w1", b"w2 w3"]
+    together = lm.Batch(texts, known)
+    for i, f in enumerate(together.features):
+        assert f.tolist() == [x for t in texts for x in lm.Batch([t], known).features[i].tolist()]
+    assert lm.Batch([], known).features[0].size == 0
