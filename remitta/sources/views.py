@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 from remitta.errors import ReadError
 from remitta.functions import columns as C
-from remitta.functions.values import decimal_display, printable, time_display
+from remitta.functions.values import decimal_display, parsed, printable, time_display
 from remitta.operators.checks import Finding
 from remitta.operators.engine import Run
 from remitta.operators.masking import Places
-from remitta.sources.remittance import DIAGNOSTICS, Options, Remittance, _delimiters_of, _findings, table_columns
+from remitta.operators.scan import Scan
+from remitta.plans.spec import Column
+from remitta.sources.remittance import DIAGNOSTICS, Options, Remittance, _delimiters_of, _findings, by_columns, table_columns
 
 
 def json_view(r: Remittance, mask_key: bytes | None = None) -> DataFrame:
@@ -48,6 +51,12 @@ def json_view(r: Remittance, mask_key: bytes | None = None) -> DataFrame:
             return None
         for o in every.values():
             spec = o.spec_of(data, d)  # its columns must be those that were asked for
+        scan = by_columns(data, spec, d, first, tables, True)
+        if scan is not None:
+            try:
+                return _clean_view(data, scan, columns, first.binary)
+            except (UnicodeDecodeError, pa.ArrowInvalid):  # said below
+                pass
         run = Run(data, spec, d, tables, findings=True, events=True, largest_text=first.largest_text)
         run.unpad = first.unpad
         hide, ids, loops, path = Places(spec, first.mask) if first.mask else None, [], spec.loops, ""
@@ -99,6 +108,79 @@ def json_view(r: Remittance, mask_key: bytes | None = None) -> DataFrame:
     return r.contents.select("filename", "content").mapInArrow(views, "filename string, view string")
 
 
+_quoted = json.encoder.encode_basestring
+
+
+def _shown(c: Column, texts: list, replace: bool) -> list[str]:
+    """`,"name":"text"` of each cell, nothing for null; as the cell is shown by its value."""
+    head = f',"{c.name}":' if c.name.isidentifier() else f",{_quoted(c.name)}:"
+    if c.kind == "binary":
+        errors = "replace" if replace else "strict"
+        return ["" if t is None else head + _quoted(t.decode(errors=errors)) for t in texts]
+    out = []
+    for t in texts:
+        if not t:
+            out.append("")
+        elif c.kind == "decimal" and c.scale == 2 and (m := _PLAIN(t)):
+            out.append(f'{head}"{t.decode()}"' if m[1] else f'{head}"{t.decode()}.00"')
+        else:
+            v = parsed(c.kind, c.scale, t)
+            out.append("" if v is None else f'{head}"{v:f}"' if c.kind == "decimal" else f'{head}"{v}"')
+    return out
+
+
+#: An amount whose text is what its value is shown as, but for zeros at the end.
+_PLAIN = re.compile(rb"(?:0|[1-9][0-9]{0,30})(\.[0-9]{2})?").fullmatch
+
+
+def _clean_view(data: bytes, scan: Scan, columns: dict, replace: bool) -> str:
+    """The view of a file without findings."""
+    loops = scan.spec.loops
+    segments, nodes, stack, ordinals, instances = [], ['{"node":0,"implicit":"false"}'], [], [0] * len(loops), 0
+    names = [_quoted(x.name)[1:-1] for x in loops]
+    raws, end = data.decode("latin-1").split(scan.d.segment.decode("latin-1")), scan.d.segment.decode("latin-1")
+    if scan.terminated:
+        raws.pop()
+    raws = [*map(_quoted, [x + end for x in raws[:-1]] + [raws[-1] + end * scan.terminated])] if raws else []
+    ids = {b: _quoted(b.decode("latin-1")) for b in {x.segment for x in scan.steps}}
+    path, tail, done = "", ',"path":""}', 0
+    for i, step in zip(scan.at.tolist(), scan.steps):
+        while done < i:  # white space
+            segments.append(f'{{"segment":{done},"id":"","raw":{raws[done]}{tail}')
+            done += 1
+        done += 1
+        if not step.closes and not step.opens and not step.ends:
+            segments.append(f'{{"segment":{i},"id":{ids[step.segment]},"raw":{raws[i]}{held}')
+            continue
+        if step.closes:
+            del stack[-len(step.closes) :]
+        for loop, _ in step.opens:
+            ordinals[loop] += 1
+            nodes.append(f'{{"node":{instances + 1},"parent":"{stack[-1][0] + 1 if stack else 0}","loop":"{names[loop]}","ordinal":"{ordinals[loop]}","implicit":"false","opened_by":"{i}"}}')
+            stack.append((instances, loop, f"{stack[-1][2]}/{names[loop]}#{ordinals[loop]}" if stack else f"{names[loop]}#{ordinals[loop]}"))
+            instances += 1
+        node, name = stack[-1][0], names[step.holder]
+        if step.ends:
+            stack.pop()
+        path = stack[-1][2] if stack else ""
+        segments.append(f'{{"segment":{i},"id":{ids[step.segment]},"raw":{raws[i]},"loop":"{name}","path":"{path}","node":"{node}"}}')
+        held = f',"loop":"{names[stack[-1][1]]}","path":"{path}","node":"{stack[-1][0]}"}}' if stack else None
+        tail = f',"path":"{path}"' + (f',"node":"{stack[-1][0]}"}}' if stack else "}")
+    segments += [f'{{"segment":{i},"id":"","raw":{raws[i]}{tail}' for i in range(done, len(raws))]
+    out = [f'{{"segments":[{",".join(segments)}],"nodes":[{",".join(nodes)}]']
+    for t in scan.spec.tables:
+        rows = scan.table(t.name)
+        if not len(rows):
+            continue
+        shown = columns[t.name]
+        cells = [[f'{{"{shown[0][0]}":{i}' for i in range(len(rows))], [f',"{shown[1][0]}":"{i}"' for i in rows.segment.tolist()]]
+        for (name, _, _, _), p in zip(shown[2:], rows.parents):
+            cells.append(["" if x is None else f',"{name}":"{x}"' for x in p.to_pylist()])
+        cells += [_shown(c, x, replace) for c, x in zip(t.columns, rows.texts) if x is not None]
+        out.append(f',{_quoted(t.name)}:[{"},".join(map("".join, zip(*cells)))}}}]')
+    return "".join(out) + "}"
+
+
 def csv_lines(df: DataFrame) -> DataFrame:
     """line: the cells of each row, quoted where needed and safe for spreadsheets."""
     return df.select(F.concat_ws(",", *[F.coalesce(C.csv_cell(F.col(f"`{c}`").cast("string")), F.lit("")) for c in df.columns]).alias("line"))
