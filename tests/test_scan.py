@@ -8,7 +8,7 @@ from remitta.operators.engine import Run
 from remitta.operators.lexer import Delimiters, delimiters
 from remitta.operators.scan import decimals, scanned
 from remitta.plans.builtin import builtin
-from remitta.sources import views
+from remitta.sources import remittance, views
 from remitta.sources.remittance import Options, Remittance, _Cells
 
 
@@ -80,3 +80,30 @@ def test_view_of_a_clean_file(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(views, "Run", lambda *_, **__: made.append(1))
     assert [b.column(1).to_pylist() for b in run([batch])] == want and not made
+
+
+def test_tables_of_both_sides_of_a_round_trip(monkeypatch):
+    """Several tables in one pass without stepping through the segments; the same rows, those of files that step among them."""
+    names = [t.name for t in builtin().tables]
+    files = [sample(), sample() + b"\n\n", b"\xef\xbb\xbf" + sample(), sample().replace(b"A-17", b"B-\xc3\xa9")]
+
+    def rows(data: list[bytes]) -> list:
+        batch = pa.RecordBatch.from_arrays([pa.array([f"{i}.835" for i in range(len(data))]), pa.array(data, pa.binary())], ["filename", "content"])
+        return sorted((str(r) for b in remittance.parse_tables(Files(), names)([batch]) for r in b.to_pylist()))
+
+    got = rows(files)
+    monkeypatch.setattr(remittance, "by_columns", lambda *_: None)
+    assert rows(files) == got and len(got) == 36
+    alone = rows(files[:1])
+    monkeypatch.undo()
+    monkeypatch.setattr(remittance, "Run", None)
+    assert rows(files[:1]) == alone
+    with pytest.raises(TypeError):
+        rows([files[2]])
+
+
+def test_text_that_is_not_utf8_is_refused_as_before():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a.835"]), pa.array([sample().replace(b"A-17", b"A\xff")], pa.binary())], ["filename", "content"])
+    for run in (remittance.parse_tables(Files(), ["claims"]), remittance._parser(Options("claims"))):
+        with pytest.raises(remittance.ReadError, match="claim_id.*not UTF-8"):
+            list(run([batch]))
